@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import conversations as conv
 from tessera.llm import encode as enc
-from tessera.llm import groups, packing, split
+from tessera.llm import groups, near, packing, split
 from tessera.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,25 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query("p9_containers")
 def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(enc.token_counts(table(spark, sf, "documents")))
+
+
+def _near(spark: SparkSession, sf: str):
+    return near.similar({"k_nodes": (table(spark, sf, "k_nodes"), "id", ["title", "summary"]), "concepts_global": (table(spark, sf, "concepts_global"), "id", ["summary"])}, t=0.7, least=20)
+
+
+def _words(name: str, text: str) -> str:
+    return f"SELECT DISTINCT '{name}' AS t, id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {name}"
+
+
+@query("p7_found", f"""WITH w AS ({_words("k_nodes", "coalesce(title, '') || ' ' || coalesce(summary, '')")} UNION ALL {_words("concepts_global", "coalesce(summary, '')")}),
+  n AS (SELECT t, id, count(*) AS n FROM w GROUP BY t, id HAVING count(*) >= 20),
+  s AS (SELECT DISTINCT t, id, w FROM w SEMI JOIN n USING (t, id)),
+  i AS (SELECT x.t, x.id AS a, y.id AS b, count(*) AS i FROM s x JOIN s y ON x.t = y.t AND x.w = y.w AND x.id < y.id GROUP BY ALL)
+  SELECT i.t AS rec_table, a, b FROM i JOIN n p ON p.t = i.t AND p.id = a JOIN n q ON q.t = i.t AND q.id = b WHERE 10 * i >= 7 * (p.n + q.n - i)""")
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return near.pairs_of(*_near(spark, sf))
+
+
+@query("p7_groups")
+def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near.groups_of(*_near(spark, sf))
