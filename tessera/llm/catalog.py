@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import conversations as conv
 from tessera.llm import encode as enc
-from tessera.llm import groups, near, packing, split
+from tessera.llm import groups, near, packing, personal, split
 from tessera.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,23 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p7_groups")
 def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near.groups_of(*_near(spark, sf))
+
+
+_PII = {"turns": {"text": False}, "tool_calls": {"result_excerpt": False, "args": True}}
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "given_names")
+    a, b = (personal.found(table(spark, sf, t), t, "id", f, names) for t, f in _PII.items())
+    return a.unionByName(b)
+
+
+@query("p6_masked_turns")
+def p6_masked_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.masked(table(spark, sf, "turns").select("id", "text"), _PII["turns"], table(spark, sf, "given_names"))
+
+
+@query("p6_masked_tool_calls")
+def p6_masked_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.masked(table(spark, sf, "tool_calls").select("id", "args", "result_excerpt"), _PII["tool_calls"], table(spark, sf, "given_names"))
