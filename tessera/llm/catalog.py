@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import conversations as conv
 from tessera.llm import encode as enc
-from tessera.llm import groups, near, packing, personal, split
+from tessera.llm import abuse, groups, near, packing, personal, split
 from tessera.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,18 @@ def p6_masked_turns(spark: SparkSession, sf: str) -> DataFrame:
 @query("p6_masked_tool_calls")
 def p6_masked_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     return personal.masked(table(spark, sf, "tool_calls").select("id", "args", "result_excerpt"), _PII["tool_calls"], table(spark, sf, "given_names"))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.score(table(spark, sf, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+@query("p10_scores")
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.score(table(spark, sf, "documents"), extra=("source",)).withColumn("score", F.round("score", 4))
+
+
+@query("p10_rates")
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.rates(abuse.score(table(spark, sf, "documents"), extra=("source",)))
