@@ -185,7 +185,7 @@ class Scorer:
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), weights: str | None = None) -> DataFrame:
     """(id_col, extra columns, score) of every row."""
     kinds = dict(df.dtypes)
-    net = None if weights is None else Network.load(weights)
+    net = Network.load(weights or WEIGHTS)
 
     def run(batches):
         s = Scorer(net)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import conversations as conv
 from tessera.llm import encode as enc
-from tessera.llm import abuse, groups, near, packing, personal, split
+from tessera.llm import abuse, groups, near, packing, personal, split, syntax
 from tessera.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,18 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("p10_rates")
 def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(abuse.score(table(spark, sf, "documents"), extra=("source",)))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.checked(table(spark, sf, "files")).where("not valid").select("path")
+
+
+@query("p4_files")
+def p4_files(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.checked(table(spark, sf, "files"))
+
+
+@query("p4_rates")
+def p4_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.rates(syntax.checked(table(spark, sf, "files")))
