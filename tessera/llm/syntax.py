@@ -134,4 +134,4 @@ def checked(files: DataFrame) -> DataFrame:
 def rates(verdicts: DataFrame) -> DataFrame:
     """(project_id, language, n_files, n_checked, n_invalid, rate) per repository and language."""
     bad, known = F.sum((~F.col("valid")).cast("long")), F.count("valid")
-    return verdicts.groupBy("project_id", "language").agg(F.count(F.lit(1)).alias("n_files"), known.alias("n_checked"), F.coalesce(bad, F.lit(0)).alias("n_invalid"), (F.coalesce(bad, F.lit(0)) / known).alias("rate"))
+    return verdicts.groupBy("project_id", "language").agg(F.count(F.lit(1)).alias("n_files"), known.alias("n_checked"), F.coalesce(bad, F.lit(0)).alias("n_invalid"), F.try_divide(F.coalesce(bad, F.lit(0)), known).alias("rate"))
