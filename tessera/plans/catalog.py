@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import hierarchy as h
+from tessera.plans import code, conversations, knowledge, projects, runs  # noqa: F401  they register their queries
+from tessera.plans.registry import QUERIES, SQL, query  # noqa: F401
 from tessera.runtime import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 _PARENTS = """
   ids AS (SELECT DISTINCT id FROM nodes WHERE id IS NOT NULL),
   up AS (SELECT target AS id, min(source) AS parent FROM edges
