@@ -47,5 +47,6 @@ def clean_project(project_id: str, projects: DataFrame, concepts: DataFrame, lin
     c = concepts.where(F.col("project_id") != project_id)
     ids = c.select("id").distinct()
     l = links.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    l = l.select(*links.columns)
     e = evidence_.where(F.col("project_id") != project_id)
     return {"projects": left, "concepts": c, "links": l, "evidence": e, "skills": synthesize(e)}
