@@ -60,7 +60,7 @@ JS_WORDS = set("break case catch class const continue debugger default delete do
 
 _SCRIPT = r"""
 file = HASHBANG? stmt* EOF
-@stmt = block | ';' | vardecl EOS | decorators? 'abstract'? classx | 'async'? 'function' '*'? NAME fnrest | ifst | forst | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'? | 'return' (NONL expr)? EOS | 'break' (NONL NAME)? EOS | 'continue' (NONL NAME)? EOS | 'throw' NONL expr EOS | tryst | switchst | importst | exportst | 'debugger' EOS | NAME ':' stmt | tsstmt | !'function' !'class' !'{' expr EOS
+@stmt = block | ';' | vardecl EOS | decorators? 'abstract'? classx | decorators &'export' exportst | 'async'? 'function' '*'? NAME fnrest | ifst | forst | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';'? | 'return' (NONL expr)? EOS | 'break' (NONL NAME)? EOS | 'continue' (NONL NAME)? EOS | 'throw' NONL expr EOS | tryst | switchst | importst | exportst | 'debugger' EOS | NAME ':' stmt | tsstmt | !'function' !'class' !'{' expr EOS
 block = '{' stmt* '}'
 vardecl = ('var' | 'let' | 'const' !'enum' | 'using' NONL) declr % ','
 declr = bind '!'? annot? ('=' assign)?
@@ -391,10 +391,10 @@ local = type localvar (',' localvar)*
 localvar = NAME ('=' ('ref'? init))?
 localfn = attrs ('static' | 'async' | 'unsafe' | 'extern')* rtype NAME tparams? '(' params? ')' constraints (block | '=>' expr ';')
 tupledecl = tupleel (',' tupleel)*
-tupleel = type? NAME | '(' tupledecl ')'
+tupleel = type NAME | NAME | '(' tupledecl ')'
 @expr = lambda | query | 'throw' expr | ternary ((ASSIGN | '=' | '??=' | '>' '>' '>'? '=') ('ref'? expr))?
-query = 'from' type? NAME 'in' expr qclause+
-qclause = 'from' type? NAME 'in' expr | 'where' expr | 'let' NAME '=' expr | 'join' type? NAME 'in' expr 'on' expr 'equals' expr ('into' NAME)? | 'orderby' (expr ('ascending' | 'descending')?) % ',' | 'select' expr | 'group' expr 'by' expr | 'into' NAME
+query = 'from' (type NAME | NAME) 'in' expr qclause+
+qclause = 'from' (type NAME | NAME) 'in' expr | 'where' expr | 'let' NAME '=' expr | 'join' (type NAME | NAME) 'in' expr 'on' expr 'equals' expr ('into' NAME)? | 'orderby' (expr ('ascending' | 'descending')?) % ',' | 'select' expr | 'group' expr 'by' expr | 'into' NAME
 lambda = attrs ('static' | 'async')* (NAME | rtype? '(' lparams? ')') '=>' ('ref'? expr | block) | 'async'? 'static'? 'delegate' ('(' params? ')')? block
 lparams = lparam % ','
 lparam = attrs ('ref' | 'out' | 'in' | 'params' | 'scoped')* (type NAME ('=' expr)? | NAME)
@@ -449,7 +449,7 @@ colopt = ('CONSTRAINT' name)? (('NOT')? 'NULL' ('ON' 'CONFLICT' NAME)? | 'DEFAUL
 defval = '(' expr ')' | ('+' | '-')? NUM cast* | STR cast* | 'NULL' cast* | 'TRUE' | 'FALSE' | 'NEXT' 'VALUE' 'FOR' qname | func cast* | NAME STR? cast*
 seqopt = ('START' | 'INCREMENT') ('WITH' | 'BY')? '-'? NUM | ('MINVALUE' | 'MAXVALUE' | 'CACHE') '-'? NUM | 'NO' ('MINVALUE' | 'MAXVALUE' | 'CYCLE' | 'CACHE') | 'CYCLE' | 'OWNED' 'BY' qname | 'AS' dtype
 cindex = 'UNIQUE'? ('CLUSTERED' | 'NONCLUSTERED' | 'FULLTEXT' | 'SPATIAL')? 'INDEX' 'CONCURRENTLY'? notexists? (qname)? 'ON' 'ONLY'? qname ('USING' NAME)? '(' idxcol % ',' ')' ('INCLUDE' '(' name % ',' ')')? ('WITH' '(' anyparen ')')? ('TABLESPACE' NAME)? ('WHERE' expr)?
-idxcol = expr ('COLLATE' qname)? NAME? ('ASC' | 'DESC')? ('NULLS' ('FIRST' | 'LAST'))?
+idxcol = expr ('COLLATE' qname)? (!'NULLS' NAME)? ('ASC' | 'DESC')? ('NULLS' ('FIRST' | 'LAST'))?
 cview = ('RECURSIVE' | 'MATERIALIZED')? 'VIEW' notexists? qname ('(' name % ',' ')')? ('WITH' '(' anyparen ')')? 'AS' query ('WITH' ('NO' 'DATA' | 'DATA' | ('CASCADED' | 'LOCAL')? 'CHECK' 'OPTION'))?
 cfunc = ('FUNCTION' | 'PROCEDURE') notexists? qname '(' ((('IN' | 'OUT' | 'INOUT' | 'VARIADIC')? name dtype? (('DEFAULT' | '=') expr)?) % ',')? ')' funcopt+
 funcopt = 'RETURNS' ('SETOF'? dtype | 'TABLE' '(' (name dtype) % ',' ')' | 'NULL' 'ON' 'NULL' 'INPUT' | 'TRIGGER') | 'LANGUAGE' (NAME | STR) | 'AS' (STR (',' STR)?) | 'IMMUTABLE' | 'STABLE' | 'VOLATILE' | 'STRICT' | 'SECURITY' NAME | 'PARALLEL' NAME | 'COST' NUM | 'DETERMINISTIC' | 'RETURN' expr | 'BEGIN' (stmt ';')* 'END' | 'CALLED' 'ON' 'NULL' 'INPUT' | 'SET' name ('=' | 'TO') expr
@@ -457,7 +457,7 @@ ctype = 'TYPE' qname ('AS' ('ENUM' '(' (STR % ',')? ')' | '(' (name dtype) % ','
 ctrigger = 'CONSTRAINT'? 'TRIGGER' notexists? qname ('BEFORE' | 'AFTER' | 'INSTEAD' 'OF') (('INSERT' | 'DELETE' | 'UPDATE' ('OF' name % ',')? | 'TRUNCATE') % 'OR') 'ON' qname ('REFERENCING' anything0)? ('FOR' 'EACH'? ('ROW' | 'STATEMENT'))? ('WHEN' '(' expr ')')? ('EXECUTE' ('FUNCTION' | 'PROCEDURE') qname '(' (expr % ',')? ')' | 'BEGIN' (stmt ';')+ 'END')
 anything0 = (NAME | 'AS' | 'TABLE')*
 alter = 'ALTER' ('TABLE' ifexists? 'ONLY'? qname altact (',' altact)* | ('SEQUENCE' | 'INDEX' | 'TYPE' | 'VIEW' | 'SCHEMA' | 'DATABASE' | 'FUNCTION' | 'ROLE' | 'USER') ifexists? qname anything)
-altact = 'ADD' ('COLUMN'? notexists? tabel | '(' tabel % ',' ')') (('FIRST') | 'AFTER' name)? | 'DROP' ('COLUMN' | 'CONSTRAINT' | 'INDEX' | 'PRIMARY' 'KEY' | 'FOREIGN' 'KEY')? ifexists? name? ('CASCADE' | 'RESTRICT')? | 'ALTER' 'COLUMN'? name ('SET' ('NOT' 'NULL' | 'DEFAULT' expr | 'DATA' 'TYPE' dtype ('USING' expr)? | 'STATISTICS' NUM | 'STORAGE' NAME) | 'DROP' ('NOT' 'NULL' | 'DEFAULT' | 'IDENTITY' ifexists? | 'EXPRESSION') | 'TYPE' dtype ('COLLATE' qname)? ('USING' expr)? | dtype colopt*) | 'RENAME' ('COLUMN' | 'CONSTRAINT')? name? 'TO' qname | 'OWNER' 'TO' name | 'SET' anything1 | ('MODIFY' | 'CHANGE') 'COLUMN'? name name? dtype colopt* | ('ENABLE' | 'DISABLE') anything1 | 'ATTACH' anything1 | 'VALIDATE' 'CONSTRAINT' name | 'INHERIT' qname
+altact = 'ADD' ('COLUMN'? notexists? tabel | '(' tabel % ',' ')') (('FIRST') | 'AFTER' name)? | 'DROP' ('COLUMN' | 'CONSTRAINT' | 'INDEX' | 'PRIMARY' 'KEY' | 'FOREIGN' 'KEY')? ifexists? name? ('CASCADE' | 'RESTRICT')? | 'ALTER' 'COLUMN'? name ('SET' ('NOT' 'NULL' | 'DEFAULT' expr | 'DATA' 'TYPE' dtype ('USING' expr)? | 'STATISTICS' NUM | 'STORAGE' NAME) | 'DROP' ('NOT' 'NULL' | 'DEFAULT' | 'IDENTITY' ifexists? | 'EXPRESSION') | 'TYPE' dtype ('COLLATE' qname)? ('USING' expr)? | dtype colopt*) | 'RENAME' ('COLUMN' | 'CONSTRAINT')? (!'TO' name)? 'TO' qname | 'OWNER' 'TO' name | 'SET' anything1 | ('MODIFY' | 'CHANGE') 'COLUMN'? name name? dtype colopt* | ('ENABLE' | 'DISABLE') anything1 | 'ATTACH' anything1 | 'VALIDATE' 'CONSTRAINT' name | 'INHERIT' qname
 anything1 = (NAME | STR | NUM | '(' anyparen ')' | '=' | 'WITH' | 'ALL' | '.')+
 drop = 'DROP' ('TABLE' | 'INDEX' | 'VIEW' | 'MATERIALIZED' 'VIEW' | 'SCHEMA' | 'SEQUENCE' | 'FUNCTION' | 'PROCEDURE' | 'TRIGGER' | 'TYPE' | 'DATABASE' | 'EXTENSION' | 'ROLE' | 'USER' | 'POLICY' | 'DOMAIN') 'CONCURRENTLY'? ifexists? (qname ('(' (dtype % ',')? ')')?) % ',' ('ON' qname)? ('CASCADE' | 'RESTRICT')?
 @query = ('WITH' 'RECURSIVE'? (name ('(' name % ',' ')')? 'AS' ('NOT'? 'MATERIALIZED')? '(' (query | insert | update | delete) ')') % ',')? qterm (('UNION' | 'INTERSECT' | 'EXCEPT') ('ALL' | 'DISTINCT')? qterm)* ('ORDER' 'BY' ordering)? qlimit*
@@ -465,16 +465,17 @@ qlimit = 'LIMIT' (expr | 'ALL') (',' expr)? | 'OFFSET' expr ('ROWS' | 'ROW')? |
 ordering = (expr ('ASC' | 'DESC')? ('NULLS' ('FIRST' | 'LAST'))?) % ','
 qterm = '(' query ')' | 'VALUES' ('(' expr % ',' ')') % ',' | 'TABLE' qname | 'SELECT' ('ALL' | 'DISTINCT' ('ON' '(' expr % ',' ')')?)? (selitem % ',') ('INTO' qname)? ('FROM' fromitem % ',')? ('WHERE' expr)? ('GROUP' 'BY' (grouping % ',' | 'ALL'))? ('HAVING' expr)? ('WINDOW' (name 'AS' '(' winspec ')') % ',')?
 grouping = ('ROLLUP' | 'CUBE') '(' expr % ',' ')' | 'GROUPING' 'SETS' '(' anyparen ')' | expr
-selitem = '*' | qname '.' '*' | expr ('AS' (name | STR) | name)?
+selitem = '*' | qname '.' '*' | expr ('AS' (name | STR) | notclause name)?
+notclause = !'NATURAL' !'OFFSET' !'WINDOW' !'FETCH' !'FOR' !'RETURNING' !'SET'
 fromitem = joined
 joined = tabref (joinkind tabref ('ON' expr | 'USING' '(' name % ',' ')')?)*
 joinkind = 'NATURAL'? ('INNER' | ('LEFT' | 'RIGHT' | 'FULL') 'OUTER'? | 'CROSS')? 'JOIN'
-tabref = 'LATERAL'? ('(' query ')' | '(' joined ')' | qname ('(' (expr % ',')? ')')?) ('AS' name | !'NATURAL' !'OFFSET' !'WINDOW' !'FETCH' !'FOR' name)? ('(' name % ',' ')')?
+tabref = 'LATERAL'? ('(' query ')' | '(' joined ')' | qname ('(' (expr % ',')? ')')?) ('AS' name | notclause name)? ('(' name % ',' ')')?
 insert = 'INSERT' ('OR' NAME)? 'INTO' qname ('AS' name)? ('(' name % ',' ')')? ('DEFAULT' 'VALUES' | 'VALUES' ('(' (expr | 'DEFAULT') % ',' ')') % ',' | query) ('ON' 'CONFLICT' ('(' idxcol % ',' ')' | 'ON' 'CONSTRAINT' name)? ('WHERE' expr)? 'DO' ('NOTHING' | 'UPDATE' 'SET' setitem % ',' ('WHERE' expr)?))? returning?
 returning = 'RETURNING' selitem % ','
 setitem = (qname | '(' name % ',' ')') '=' (expr | 'DEFAULT')
 update = 'UPDATE' 'ONLY'? qname ('AS'? !'SET' name)? 'SET' setitem % ',' ('FROM' fromitem % ',')? ('WHERE' expr)? returning?
-delete = 'DELETE' 'FROM' qname ('AS'? !'USING' name)? ('USING' fromitem % ',')? ('WHERE' expr)? returning?
+delete = 'DELETE' 'FROM' qname ('AS'? !'USING' notclause name)? ('USING' fromitem % ',')? ('WHERE' expr)? returning?
 misc = ('BEGIN' | 'COMMIT' | 'ROLLBACK' | 'START') ('TRANSACTION' | 'WORK')? | 'SET' anything1 | ('GRANT' | 'REVOKE') anything | 'COMMENT' 'ON' anything2 'IS' (STR | 'NULL') | ('PRAGMA' | 'USE' | 'ANALYZE' | 'VACUUM' | 'REINDEX' | 'EXPLAIN') anything | 'TRUNCATE' 'TABLE'? qname % ',' ('CASCADE' | 'RESTRICT' | NAME)* | 'REFRESH' 'MATERIALIZED' 'VIEW' 'CONCURRENTLY'? qname | 'DO' STR | 'CALL' func
 anything2 = (NAME | QNAME | 'TABLE' | 'COLUMN' | 'VIEW' | 'INDEX' | 'CONSTRAINT' | 'ON' | '.' | '(' anyparen ')')+
 anything = anyitem*
@@ -489,7 +490,7 @@ cast = '::' dtype
 @primary = prim1 (cast | '[' expr? (':' expr?)? ']' | '.' (name | '*'))*
 prim1 = 'CASE' !'WHEN' expr ('WHEN' expr 'THEN' expr)+ ('ELSE' expr)? 'END' | 'CASE' ('WHEN' expr 'THEN' expr)+ ('ELSE' expr)? 'END' | 'CAST' '(' expr 'AS' dtype ')' | 'EXTRACT' '(' name 'FROM' expr ')' | ('SUBSTRING' | 'TRIM' | 'OVERLAY' | 'POSITION') '(' (NAME | expr)? (('FROM' | 'FOR' | 'IN' | 'PLACING') expr)* ')' | 'INTERVAL' STR NAME? | ('DATE' | 'TIMESTAMP' | 'TIME') STR | 'ARRAY' '[' (expr % ',')? ']' | 'ARRAY' '(' query ')' | func | ('LEFT' | 'RIGHT' | 'SET') '(' expr % ',' ')' | NUM | STR | 'NULL' | 'DEFAULT' | '(' (query | expr % ',') ')' | PARAM | qname
 func = qname '(' ('DISTINCT' | 'ALL')? ('*' | (expr (('=>' | ':=') expr)?) % ',' ('ORDER' 'BY' ordering)?)? ')' ('WITHIN' 'GROUP' '(' 'ORDER' 'BY' ordering ')')? ('FILTER' '(' 'WHERE' expr ')')? ('OVER' ('(' winspec ')' | name))?
-winspec = name? ('PARTITION' 'BY' expr % ',')? ('ORDER' 'BY' ordering)? (('ROWS' | 'RANGE' | 'GROUPS') frame)?
+winspec = (!'PARTITION' !'ROWS' !'RANGE' !'GROUPS' name)? ('PARTITION' 'BY' expr % ',')? ('ORDER' 'BY' ordering)? (('ROWS' | 'RANGE' | 'GROUPS') frame)?
 frame = 'BETWEEN' bound 'AND' bound | bound
 bound = 'UNBOUNDED' ('PRECEDING' | 'FOLLOWING') | 'CURRENT' 'ROW' | expr ('PRECEDING' | 'FOLLOWING')
 """

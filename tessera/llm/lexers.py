@@ -48,24 +48,75 @@ def _run(text: str, master: re.Pattern, words: set[str], upper: bool = False):
 _ID = r"[^\W\d]\w*"
 
 
-def _py_string_ok(body: str) -> bool:
-    """Whether the braces of a formatted string are paired."""
-    i, n, depth = 0, len(body), 0
-    while i < n:
-        c = body[i]
-        if depth == 0 and c in "{}" and body[i : i + 2] == c * 2:
-            i += 2
+_OPEN = re.compile(r"([a-zA-Z]{0,2})(\'\'\'|\"\"\"|\'|\")")
+
+
+def _string_end(t: str, at: int, prefix: str, quote: str) -> int:
+    """Where the string ends whose text begins at ``at``; -1 if it doesn't, or if its replacement fields are broken."""
+    n, fields, raw, long = len(t), bool(set(prefix.lower()) & set("ft")), "r" in prefix.lower(), len(quote) == 3
+    while at < n:
+        c = t[at]
+        if t.startswith(quote, at):
+            return at + len(quote)
+        if c == "\\":
+            at += 2
+            if raw and fields and t[at - 1 : at] in "{}":
+                at -= 1
+        elif c in "\n" and not long:
+            return -1
+        elif fields and c in "{}":
+            if t[at : at + 2] == c * 2:
+                at += 2
+            elif c == "}" or (at := _field_end(t, at + 1, quote, long)) < 0:
+                return -1
+        else:
+            at += 1
+    return -1
+
+
+def _field_end(t: str, at: int, quote: str, long: bool) -> int:
+    """Past the closing brace of a replacement field whose expression begins at ``at``."""
+    n, depth, empty = len(t), [], True
+    while at < n:
+        c = t[at]
+        m = _OPEN.match(t, at) if c.isalpha() or c in "\"'" else None
+        if m and (at == 0 or not (t[at - 1].isalnum() or t[at - 1] == "_")):
+            at = _string_end(t, m.end(), m[1], m[2])
+            if at < 0:
+                return -1
+            empty = False
             continue
-        if c == "{":
-            if depth == 0 and not re.match(r"\{\s*[^\s}!:=]", body[i:]):
-                return False
-            depth += 1
+        if c in "([{":
+            depth.append(c)
+        elif c in ")]" or c == "}" and depth:
+            if not depth or "([{".index(depth.pop()) != ")]}".index(c):
+                return -1
         elif c == "}":
-            depth -= 1
-            if depth < 0:
-                return False
-        i += 1
-    return depth == 0
+            return -1 if empty else at + 1
+        elif c == "!" and not depth and t[at + 1 : at + 2] != "=":
+            at += 2  # the conversion's letter
+            empty = False
+            continue
+        elif c == ":" and not depth and not empty:
+            at += 1
+            while at < n:  # the format: plain text with fields of its own
+                if t[at] == "}":
+                    return at + 1
+                if t[at] == "{":
+                    at = _field_end(t, at + 1, quote, long)
+                    if at < 0:
+                        return -1
+                elif t.startswith(quote, at) or t[at] == "\n" and not long:
+                    return -1
+                else:
+                    at += 1
+            return -1
+        elif c in "'\"\\" and not m:
+            return -1
+        if not c.isspace():
+            empty = False
+        at += 1
+    return -1
 
 
 _PY = re.compile(
@@ -113,6 +164,17 @@ def python(text: str):
             if col != stack[-1]:
                 raise Bad(rest, "this depth matches no outer one")
             at, fresh = rest, False
+        m = _OPEN.match(text, at) if text[at] in "fFtTrRbB" else None
+        if m and set(m[1].lower()) & set("ft"):
+            if m[1].lower() not in ("f", "t", "fr", "rf", "tr", "rt"):
+                raise Bad(at, "no such prefix")
+            end = _string_end(text, m.end(), m[1], m[2])
+            if end < 0:
+                raise Bad(at, "not closed")
+            kinds.append("STR")
+            starts.append(at)
+            at = end
+            continue
         m = _PY.match(text, at)
         if m is None:
             raise Bad(at, "no token begins here")
@@ -139,11 +201,6 @@ def python(text: str):
                 p = re.match(r"[a-zA-Z]*", s).group().lower()
                 if p and p not in ("r", "b", "u", "f", "t", "br", "rb", "fr", "rf", "tr", "rt"):
                     raise Bad(at, "no such prefix")
-                if "f" in p or "t" in p:
-                    body = s[len(p) :]
-                    body = body[3:-3] if body[:3] in ("'''", '"""') else body[1:-1]
-                    if not _py_string_ok(body):
-                        raise Bad(at, "braces of the string don't pair")
                 kinds.append("STR")
             else:
                 if k == "NUM" and (re.match(r"0\d", s) and s.strip("0_") and s.isdigit() or re.match(r"\w", text[m.end() : m.end() + 1] or " ") and not re.match(r"(?:if|or|and|in|is|else|for|not)\b", text[m.end() :])):
