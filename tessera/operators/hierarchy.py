@@ -23,6 +23,8 @@ from tessera.runtime import Scratch
 
 #: Open rows up to this number are sent to all executors (at most some 30 MB without paths); more are shuffled.
 BROADCAST_ROWS = 200_000
+#: Stands between the names and ids of a path while it grows.
+SEP = "\x01"
 
 
 def _names(nodes: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def _state(links: DataFrame, paths: bool) -> DataFrame:
         root.alias("done"), F.when(root, 0).otherwise(1).alias("depth"),
     ]
     if paths:
-        cols += [F.array("name").alias("names"), F.array("id").alias("ids")]
+        cols += [F.coalesce("name", F.lit("")).alias("names"), F.col("id").alias("ids")]  # joined by SEP: smaller rows than arrays
     return links.select(*cols)
 
 
@@ -57,7 +59,7 @@ def _step(u: DataFrame, s: DataFrame, paths: bool, small: bool) -> DataFrame:
     j = (F.broadcast(u) if small else u).join(s, F.col("anc") == F.col("s_id"))
 
     def both(c: str) -> Column:
-        return F.concat("s_" + c, c).alias(c)
+        return F.concat("s_" + c, F.lit(SEP), c).alias(c)
 
     cols = [F.col("id"), F.col("up"), F.col("s_anc").alias("anc"), F.least("low", "s_low").alias("low"), F.col("s_done").alias("done"), (F.col("depth") + F.col("s_depth")).alias("depth")]
     return j.select(*cols, *([both("names"), both("ids")] if paths else []))
@@ -93,7 +95,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, kind: str = "contains", paths:
         states = [done, keep.save(nxt.join(inner, "id", "left_semi")) if n else reached]
     result = None
     for c in closed:
-        c = c.select(F.col("id"), F.col("anc").alias("root_id"), F.col("depth"), F.col("up").alias("parent_id"), *(["names", "ids"] if paths else []))
+        c = c.select(F.col("id"), F.col("anc").alias("root_id"), F.col("depth"), F.col("up").alias("parent_id"), *([F.split("names", SEP).alias("names"), F.split("ids", SEP).alias("ids")] if paths else []))
         result = c if result is None else result.unionByName(c)
     if loops is None:
         return result
