@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import facts as fa
-from tessera.operators import incremental, triage
+from tessera.operators import enrichment, incremental, triage
 from tessera.operators import windows as wi
 from tessera.plans import inputs as i
 from tessera.plans.registry import query
@@ -113,3 +113,12 @@ def tool_mix(spark, sf):
 def dangling_tool_calls(spark, sf):
     c = table(spark, sf, "tool_calls").where("turn_id is not null").select("id", "turn_id")
     return c.join(table(spark, sf, "turns").select(F.col("id").alias("turn_id")).distinct(), "turn_id", "left_anti").select("id").distinct()
+
+
+@query("near_duplicate_windows")
+def near_duplicate_windows(spark, sf):
+    """Windows whose id is divisible by 20 against all others, by hashed words; the embedding has no SQL."""
+    w = i.windows(spark, sf)
+    e = enrichment.hash_embedding(w, "id", "text")
+    q = e.where(F.conv("id", 16, 10).cast("decimal(20,0)") % 20 == 0)
+    return enrichment.duplicates(q, e).withColumn("score", F.round("score", 4))
