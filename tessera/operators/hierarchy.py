@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import Scratch
 
-#: Open rows up to this number are sent to all executors (at most some 30 MB without paths); more are shuffled.
-BROADCAST_ROWS = 200_000
+#: Open rows of up to so many bytes in all are sent to all executors; more are shuffled.
+BROADCAST_BYTES = 16 << 20
+#: Bytes of a row beside its ids and paths.
+ROW_BYTES = 48
 #: Stands between the names and ids of a path while it grows.
 SEP = "\x01"
 
@@ -69,20 +71,27 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, kind: str = "contains", paths:
     """(id, root_id, depth, parent_id [, names array, ids array]) of every node; see the module for the defined cases."""
     spark = nodes.sparkSession
     keep = Scratch(spark)
+
+    def measured(df: DataFrame) -> tuple[int, bool]:
+        """Rows, and whether they are few enough to be broadcast."""
+        wide = ["id", "up", "anc", "low", *(["names", "ids"] if paths else [])]
+        got = df.agg(F.count(F.lit(1)).alias("n"), F.sum(sum((F.octet_length(c) for c in wide), F.lit(ROW_BYTES))).alias("b")).first()
+        return got["n"], (got["b"] or 0) <= BROADCAST_BYTES
+
     start = keep.save(_state(parents(nodes, edges, kind, paths), paths))
     inner = start.select(F.col("up").alias("id")).where("id is not null").distinct()
     states = [keep.save(start.join(inner, "id", "left_semi"))]  # states that may be looked up: nodes with children
     closed = [start.where("done")]
     u = start.where("not done")
-    n = u.count()
+    n, small = measured(u)
     loops = None
     while n:
         seen = states[0]
         for x in states[1:]:
             seen = seen.unionByName(x)
-        nxt = keep.save(_step(u, seen, paths, n <= BROADCAST_ROWS))
+        nxt = keep.save(_step(u, seen, paths, small))
         reached = nxt.where("done")
-        left = nxt.where("not done").count()
+        left, small = measured(nxt.where("not done"))
         if left == n:
             loops = nxt
             break
@@ -100,7 +109,6 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, kind: str = "contains", paths:
     if loops is None:
         return result
     # On loops: widen until every node names the same smallest id as its parent, which proves whole loops were seen.
-    small = n <= BROADCAST_ROWS
     while True:
         seen = loops.select(F.col("id").alias("s_id"), F.col("low").alias("root_id"), F.col("anc").alias("s_anc"))
         named = keep.save(loops.select("id", "up", "anc", "low").join(F.broadcast(seen) if small else seen, F.col("anc") == F.col("s_id")).drop("s_id"))
