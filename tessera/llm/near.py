@@ -33,7 +33,7 @@ TABLES, SYMBOLS = 10, 4
 COMMON_SHARE = 32
 FEW = 8
 RUN = 2048
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 500_000
 _BITS = 58
 _ONE = np.uint64(1)
 
