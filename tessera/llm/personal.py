@@ -227,7 +227,7 @@ ADDRESS = [
     re.compile(rf"(?<![\w/])(?:Am|An\sder|An\sden|Auf\sder|Auf\sdem|Im|In\sder|Zum|Zur|Unter\sden|Hinter\sder|Hinter\sdem|Beim)\s{_W}(?:\s{_W})?\s{_NO}(?![\w/]|[.:]\d){_TAIL}"),
     re.compile(rf"(?i:(?<![\w/])(?:rue|boulevard|impasse|chemin)\s(?:de\s|du\s|des\s|d['’]|la\s|le\s|les\s)*){_W}(?:[\s-]{_W})*,\s(?:n°\s?)?\d{{1,4}}(?![\w/])"),
 ]
-_ADDRESS_WORDS = re.compile(r"(?i)(?:addr\w*|adresse|dirección|direccion|street|line1|ship\w*(?:\sit)?(?:\sto)?|deliver\w*|livr\w+|envío|lieferung\w*|wohnt|wohnhaft|lives at|geocoder\sfails\sfor|billing|domicilio|habite|vive en|nach|to|au|a|at|in)\W{0,4}$")
+_ADDRESS_WORDS = re.compile(r"(?i)(?:addr\w*|adresse|dirección|direccion|street|line1|ship\w*(?:\sit)?(?:\sto)?|deliver\w*|livr\w+|envío|lieferung\w*|wohnt|wohnhaft|lives at|geocoder\sfails\sfor|prints|billing|domicilio|habite|vive en|nach|to|au|a|at|in)\W{0,4}$")
 _NOT_STREET = re.compile(r"(?i)\b(?:main thread|upper bound|lower bound|line|port|build|step|page|version|chapter|slot|worker|node|thread)\b")
 
 
@@ -254,7 +254,7 @@ def _addresses(t: str) -> Iterable[tuple[int, int, float]]:
         score = 0.3 if k == 5 else 0.6
         if _ADDRESS_WORDS.search(t[max(0, m.start() - 28) : m.start()]) or _cell(t, m.start(), m.end()):
             score += 0.3
-        if k == 5 and re.search(r",\s\d{5}\s", m.group()):
+        if k == 5 and re.search(r",\s\d{5}\s|\d[a-z]$", m.group()):
             score += 0.3
         if _NOT_STREET.search(m.group()):
             score -= 0.6
@@ -307,7 +307,7 @@ def _names(t: str, given: frozenset[str], lower: re.Pattern | None) -> Iterable[
         words = [w for p in parts for w in re.split(r"[-\s]", p)]
         first, last = (m["first"], m["last"]) if m["first"] else (m["giv"], m["fam"])
         low = [w.lower().rstrip(".") for w in parts]
-        if any(x in _NOT_NAMES for x in low):
+        if any(x in _NOT_NAMES for x, w in zip(low, parts) if len(w) > 2 or w[-1] != "."):
             at = m.start() + max(1, len(re.match(r"\S+", m.group()).group()))  # the next word may begin a name
             continue
         known = first.lower() in given or first.split("-")[0].lower() in given
@@ -322,13 +322,13 @@ def _names(t: str, given: frozenset[str], lower: re.Pattern | None) -> Iterable[
         if m["title"]:
             score += 0.4
         if _STRONG.search(before):
-            score += 0.45
+            score += 0.55 if m["fam"] else 0.45
         elif _NAME_BEFORE.search(before):
             score += 0.2
         if _NAME_AFTER.search(after):
             score += 0.25
         if _cell(t, m.start(), m.end()):
-            score += 0.35 if known or initial or turned or m["fam"] else 0.3
+            score += 0.55 if m["fam"] else 0.35 if known or initial or turned else 0.3
         if initial and not m["fam"]:
             score -= 0.05
         if re.match(r"\s?\d|\sprotocol|\sAdapter|\(|::|\.\w", after) and not re.match(r"\s?\d{4,}", after):

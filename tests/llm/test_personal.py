@@ -11,6 +11,7 @@ CASES = [
     ("SSN 986 22 4296 is doubled", {"id_number"}), ("id check: 918-54-9175", {"id_number"}), ("tax id 943-75-1535", {"id_number"}), ("passport no. X32715143", {"id_number"}), ("Personalausweis T3052622X", {"id_number"}), ("DNI 00006217-T", {"id_number"}), ("doc=\"NINO QQ 71 91 89 C\"", {"id_number"}),
     ("lives at 118 Merrowdale Avenue, Apt 3B, Ostwin", {"address"}), ("wohnt Am Krähenturm 165b.", {"address"}), ("addr=\"Steinbrückerstraße 114, 98578 Tarnholt\"", {"address"}), ("Livraison au 116 rue des Tilleuls-Gris", {"address"}), ("C/ Ribera Honda 159, 9º B", {"address"}), ("Avenida de los Olmos Blancos 72, 6º A", {"address"}), ("envío a Alte Färberallee 29", {"address"}),
     ("reported by Klara Vander this morning", {"name"}), ("assignee: ZOE MARRIN.", {"name"}), ("| 12 | Vander, Thomas |", {"name"}), ("signed off by Quirin Yarrow-Holt.", {"name"}), ("user=\"T. Vander\" msg", {"name"}), ("le client Herr Wei von Vander a signalé", {"name"}),
+    ("laut I. Núñarez tritt das auf", {"name"}), ("assignee: Fenwicke, Anselm.", {"name"}), ("; Vexholm, Dagny ;", {"name"}), ("the label prints Am Krähenturm 20c on two lines.", {"address"}),
     ("Ping Klara when it is done.", set()), ("Thanks, Priya, that was the linter.", set()), ("Class ThomasAdapter wraps the Zoe protocol in x.", set()), ("git@forge.corvane.example:tools/x.git", set()), ("pins flextable@4.17.52 and @corvane/ui@2.3.1", set()),
     ("Order 912-441-8731-3 has 7", set()), ("Serial T-900-763-X", set()), ("Port 55501 is taken, use 8081", set()), ("Checksum 0x9f3ab2847 differs from 415555068677ef.", set()), ("GET /v2/street/14/unit/786 returns 404", set()), ("Move to Main Thread 498, then Upper Bound 887.", set()),
     ("Docker Compose starts x after 307 retries", set()), ("Build 2024.11.05-888 took 12:04:33 on node 10.0.0.741.", set()), ("At 2024-03-677 it moved to slot 202.555.x.", set()), ("ValueError in Zeile 132 von src/x.py", set()), ("The @Injectable() decorator", set()), ("", set()), (None, set()),
