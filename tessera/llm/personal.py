@@ -238,6 +238,9 @@ _STREET_WORDS = ("C/ ", "Calle ", "Aven", "Avda", "Av. ", "Plaza", "Pza", "Paseo
     "Am ", "An der ", "An den ", "Auf de", "Im ", "In der ", "Zum ", "Zur ", "Unter den ", "Hinter de", "Beim ", "rue ", "Rue ", "oulevard ", "mpasse ", "hemin ", "STRASSE ", "STRAßE ", "STR. ", "GASSE ", "WEG ", "ALLEE ", "PLATZ ", "RING ", "DAMM ", "UFER ")
 
 
+_HEAD = re.compile(r"(?:(?:Wohnt|Wohnhaft|Lieferung|Adresse|Anschrift|Nach|In|An|Bei|Zu|Zur|Zum)\s)+")
+
+
 def _streets(t: str) -> Iterable[tuple[int, re.Match]]:
     for n in _NO_FIRST.finditer(t):
         for k in (0, 1):
@@ -258,7 +261,8 @@ def _addresses(t: str) -> Iterable[tuple[int, int, float]]:
             score += 0.3
         if _NOT_STREET.search(m.group()):
             score -= 0.6
-        yield m.start(), m.end(), score
+        head = _HEAD.match(m.group()) if k == 3 else None
+        yield m.start() + (head.end() if head else 0), m.end(), score
 
 
 # ---------------------------------------------------------------- name

@@ -26,6 +26,7 @@ def test_kinds(text, want):
 def test_masking_keeps_the_rest():
     t = "a\r\n  reported by Klara Vander,\tkv@x.example; 07700 900214\n\n"
     assert F.mask(t) == "a\r\n  reported by [NAME],\t[EMAIL]; [PHONE]\n\n"
+    assert F.mask("Wohnt Alte Färberallee 29.") == "Wohnt [ADDRESS]."
     clean = "nothing here \u2003 \r\n"
     assert F.mask(clean) == clean and F.mask(None) is None and F.mask("") == ""
 
