@@ -328,9 +328,9 @@ patstart = 'NEVERMATCH' | NAME | lit | '_' | '(' | '[' | '&' | '|' | 'ref' | 'mu
 pat1 = '&' 'mut'? pat1 | '&&' 'mut'? pat1 | '_' | '..' !rangeend | '(' (pat (',' pat)* ','?)? ')' | '[' (pat (',' pat)* ','?)? ']' | 'ref' 'mut'? NAME ('@' pat1)? | 'mut' NAME ('@' pat1)? | ('..=' | '..') rangeend | rangeend ('..=' | '...' | '..') rangeend? | '-'? lit | NAME '@' pat1 | 'const' block | path '!' tt | epath ('{' (fpat (',' fpat)* ','?)? '}' | '(' (pat (',' pat)* ','?)? ')')?
 rangeend = '-'? lit | epath !'(' !'{' !'!'
 fpat = attr* ('..' | 'ref'? 'mut'? NAME !':' | (NAME | NUM) ':' pat)
-@expr = closure | jump | unary (bin (closure | jump | unary)?)* 
-@hexpr = closure | jump | hunary (bin (closure | jump | hunary)?)*
-bin = ASSIGN | '=' | OP | '*' | '-' | '+' | '<' '<'? '='? | '>' '>'? '='? | '|' | '||' | '&' | '&&' | '..' | '..=' | 'as' type | RANGEEND
+@expr = closure | jump | unary (bin (closure | jump | unary) | 'as' type | ('..' | '..=') (closure | jump | unary)?)*
+@hexpr = closure | jump | hunary (bin (closure | jump | hunary) | 'as' type | ('..' | '..=') (closure | jump | hunary)?)*
+bin = ASSIGN | '=' | OP | '*' | '-' | '+' | '<' '<'? '='? | '>' '>'? '='? | '|' | '||' | '&' | '&&'
 closure = ('static' | 'async')? 'move'? ('||' | '|' (cparam (',' cparam)* ','?)? '|') ('->' type block | expr)
 cparam = attr* pat1 (':' type)?
 jump = 'return' expr? | 'break' LIFE? expr? | 'continue' LIFE? | ('..' | '..=') (unary (bin unary)*)?

@@ -51,7 +51,7 @@ INVALID = {
     "typescript": ["interface A { x: }", "let a: = 1", "type = {", "class A { private x: number", "function f(a: string { }", "const x: Map<string = y", "enum A { 1 }", "}", "<<<<<<< HEAD\n", "package a;\nimport java.util.List;\nclass A {}", "`${`"],
     "java": ["class A {", "class A { void f() { int x = ; } }", "class A { int f( { } }", "public class { }", "class A { void f() { x y z; } }", "class A { String s = \"a; }", "class A } {", "import a", "class A { void f() { if x { } } }", "# T\n", "class A { int x }", "package main\n\nfunc main() {\n}\n"],
     "go": ["", "// c\n", "package", "package a\nfunc f( {\n}\n", "package a\nfunc f() {\n\tx := \n}\n", "package a\nfunc f()\n{\n}\n", "package a\ntype T struct {\n", "package a\nif x {\n}\n", "package a\nvar s = \"a\n", "package a\nfunc f() { for { }\n", "package a;\nimport java.util.List;\n", "package a\n<<<<<<< HEAD\n"],
-    "rust": ["fn f( {}", "fn f() { let x = ; }", "struct A { a: }", "fn f() { match x { 1 => } }", "impl {", "fn f() { \"a }", "fn f() -> { }", "fn f() { if { } ", "let x = 1;", "use a::;", "class A {}", "fn f() { x y }", "enum E { A(, }"],
+    "rust": ["fn f( {}", "fn f() { let x = ; }", "struct A { a: }", "fn f() { match x { 1 => } }", "impl {", "fn f() { \"a }", "fn f() -> { }", "fn f() { if { } ", "let x = 1;", "use a::;", "class A {}", "fn f() { x y }", "fn f() -> usize { self.x as usize\n<<<<<<< HEAD\n}", "fn f() { a + }", "enum E { A(, }"],
     "csharp": ["class A {", "class A { void F( { } }", "class { }", "class A { int x = ; }", "class A { void F() { if x { } } }", "namespace", "class A { string s = \"a; }", "using System\nclass A {}", "class A { int P { get; set } }", "}", "def f():\n  pass\n", "<<<<<<< HEAD\n"],
     "sql": ["CREATE TABLE (a INT)", "CREATE TABLE a (b INT,)", "CREATE TABLE a (b INT", "CREATE INDEX ON", "SELECT FROM WHERE", "CREATE TABLE a (b INT) CREATE TABLE c (d INT)", "INSERT INTO a VALUES (1", "CREATE VIEW v AS", "SELECT 'a", "<html>", "DROP", "CREATE TABL a (b INT)", "<<<<<<< HEAD\nSELECT 1;", "def f(): pass"],
 }
