@@ -13,10 +13,12 @@ dotted = NAME ('.' NAME)*
 fromwhere = ('.' | '...')* dotted | ('.' | '...') ('.' | '...')*
 fromwhat = '*' | '(' alias (',' alias)* ','? ')' | alias % ','
 alias = NAME ('as' NAME)?
-exprstmt = assignable '=' assigned | primary ':' expr ('=' (yieldx | stars))? | primary AUG (yieldx | stars) | yieldx | stars !'=' !':' !AUG
+exprstmt = assignable '=' assigned | tprim ':' expr ('=' (yieldx | stars))? | tprim AUG (yieldx | stars) | yieldx | stars !'=' !':' !AUG
 assigned = assignable '=' assigned | yieldx | stars
 assignable = target (',' target)* ','? &'='
-target = '*'? primary | '(' targets ')' | '[' targets? ']'
+target = '*'? tprim
+@tprim = atom (trailer &tstart)* ('.' NAME | '[' subs ']') | NAME | '(' targets? ')' | '[' targets? ']'
+tstart = '.' | '[' | '('
 compound = 'if' named ':' block elifs | 'while' named ':' block elseb? | 'async'? 'for' targets 'in' stars ':' block elseb? | 'try' ':' block trytail | 'async'? 'with' withitems ':' block | decorator* (funcdef | classdef) | matchst
 elifs = ('elif' named ':' block)* elseb?
 elseb = 'else' ':' block
@@ -34,7 +36,7 @@ params = param % ',' ','?
 param = '**' NAME (':' expr)? | '*' (NAME (':' ('*'? expr))?)? | '/' | NAME (':' expr)? ('=' expr)?
 lparams = lparam % ',' ','?
 lparam = '**' NAME | '*' NAME? | '/' | NAME ('=' expr)?
-targets = ('*'? primary) % ',' ','?
+targets = ('*'? tprim) % ',' ','?
 stars = ('*'? named) % ',' ','?
 yieldx = 'yield' ('from' expr | stars)?
 named = NAME ':=' expr | expr
@@ -44,7 +46,8 @@ unit = ('not' | '-' | '+' | '~')* primary
 binop = 'or' | 'and' | 'in' | 'not' 'in' | 'is' 'not'? | OP | '*' | '**' | '-' | '+' | '/' | '@'
 @primary = 'await'? atom trailer*
 trailer = '.' NAME | '(' args? ')' | '[' subs ']'
-atom = NAME | NUM | STR STR* | '...' | 'None' | 'True' | 'False' | '(' (yieldx | comp | stars)? ')' | '[' (comp | stars)? ']' | '{' (dict | comp | stars)? '}'
+str = STR | FHEAD (FOPEN (yieldx | stars) '='? FCLOSE)* FTAIL
+atom = NAME | NUM | str str* | '...' | 'None' | 'True' | 'False' | '(' (yieldx | comp | stars)? ')' | '[' (comp | stars)? ']' | '{' (dict | comp | stars)? '}'
 comp = named compfor
 compfor = ('async'? 'for' targets 'in' orx ('if' cond)*)+
 cond = NAME ':=' orx | 'lambda' lparams? ':' expr | orx

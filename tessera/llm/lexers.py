@@ -51,8 +51,8 @@ _ID = r"[^\W\d]\w*"
 _OPEN = re.compile(r"([a-zA-Z]{0,2})(\'\'\'|\"\"\"|\'|\")")
 
 
-def _string_end(t: str, at: int, prefix: str, quote: str) -> int:
-    """Where the string ends whose text begins at ``at``; -1 if it doesn't, or if its replacement fields are broken."""
+def _string_end(t: str, at: int, prefix: str, quote: str, out: list | None = None) -> int:
+    """Where the string ends whose text begins at ``at``; -1 if it doesn't, or if its replacement fields are broken. out: gets the places of the fields' expressions."""
     n, fields, raw, long = len(t), bool(set(prefix.lower()) & set("ft")), "r" in prefix.lower(), len(quote) == 3
     while at < n:
         c = t[at]
@@ -67,16 +67,16 @@ def _string_end(t: str, at: int, prefix: str, quote: str) -> int:
         elif fields and c in "{}":
             if t[at : at + 2] == c * 2:
                 at += 2
-            elif c == "}" or (at := _field_end(t, at + 1, quote, long)) < 0:
+            elif c == "}" or (at := _field_end(t, at + 1, quote, long, out)) < 0:
                 return -1
         else:
             at += 1
     return -1
 
 
-def _field_end(t: str, at: int, quote: str, long: bool) -> int:
+def _field_end(t: str, at: int, quote: str, long: bool, out: list | None) -> int:
     """Past the closing brace of a replacement field whose expression begins at ``at``."""
-    n, depth, empty = len(t), [], True
+    n, depth, empty, begin, end = len(t), [], True, at, -1
     while at < n:
         c = t[at]
         m = _OPEN.match(t, at) if c.isalpha() or c in "\"'" else None
@@ -92,18 +92,23 @@ def _field_end(t: str, at: int, quote: str, long: bool) -> int:
             if not depth or "([{".index(depth.pop()) != ")]}".index(c):
                 return -1
         elif c == "}":
+            if out is not None:
+                out.append((begin, at if end < 0 else end))
             return -1 if empty else at + 1
         elif c == "!" and not depth and t[at + 1 : at + 2] != "=":
+            end = at
             at += 2  # the conversion's letter
             empty = False
             continue
         elif c == ":" and not depth and not empty:
+            if out is not None:
+                out.append((begin, at if end < 0 else end))
             at += 1
             while at < n:  # the format: plain text with fields of its own
                 if t[at] == "}":
                     return at + 1
                 if t[at] == "{":
-                    at = _field_end(t, at + 1, quote, long)
+                    at = _field_end(t, at + 1, quote, long, out)
                     if at < 0:
                         return -1
                 elif t.startswith(quote, at) or t[at] == "\n" and not long:
@@ -121,7 +126,7 @@ def _field_end(t: str, at: int, quote: str, long: bool) -> int:
 
 _PY = re.compile(
     r"(?P<_ws>[ \t\f]+|\\\r?\n)|(?P<_comment>\#[^\n]*)|(?P<NEWLINE>\r?\n|\r)"
-    r"|(?P<STR>(?:[rRbBuUfFtT]{1,2})?(?:'''(?:\\[\s\S]|[^\\])*?'''|\"\"\"(?:\\[\s\S]|[^\\])*?\"\"\"|'(?:\\[\s\S]|[^\\\n'])*'|\"(?:\\[\s\S]|[^\\\n\"])*\"))"
+    r"|(?P<STR>(?:[rRbBuUfFtT]{1,2})?(?:'''(?:\\[\s\S]|[^\\])*?'''|\"\"\"(?:\\[\s\S]|[^\\])*?\"\"\"|'(?!'')(?:\\[\s\S]|[^\\\n'])*'|\"(?!\"\")(?:\\[\s\S]|[^\\\n\"])*\"))"
     r"|(?P<bad_str>['\"])"
     r"|(?P<NUM>0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
     rf"|(?P<NAME>{_ID})"
@@ -168,11 +173,21 @@ def python(text: str):
         if m and set(m[1].lower()) & set("ft"):
             if m[1].lower() not in ("f", "t", "fr", "rf", "tr", "rt"):
                 raise Bad(at, "no such prefix")
-            end = _string_end(text, m.end(), m[1], m[2])
+            fields: list[tuple[int, int]] = []
+            end = _string_end(text, m.end(), m[1], m[2], fields)
             if end < 0:
                 raise Bad(at, "not closed")
-            kinds.append("STR")
+            kinds.append("FHEAD")
             starts.append(at)
+            for a, b in fields:
+                try:
+                    inner, _, places = python(f"({text[a:b]}\n)")
+                except Bad as e:
+                    raise Bad(a + max(0, e.at - 1), e.what) from None
+                kinds += ["FOPEN", *inner[1:-3], "FCLOSE"]  # without the brackets and the end
+                starts += [a, *(a + x - 1 for x in places[1:-3]), b]
+            kinds.append("FTAIL")
+            starts.append(end)
             at = end
             continue
         m = _PY.match(text, at)

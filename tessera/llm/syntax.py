@@ -59,7 +59,7 @@ _SCRIPT = {"EOS": _eos, "NONL": _nonl, "NEVER": _never, "KEYWORD": _keyword}
 _SCRIPT_CLASSES = _COMMON | {"REGEX", "TPL", "THEAD", "TMID", "TTAIL", "PRIVATE", "ASSIGN", "INC", "BINOP", "HASHBANG"}
 #: language: grammar, keywords, token classes, special tests, lexer
 LANGUAGES = {
-    "python": (G.PYTHON, G.PYTHON_WORDS, _COMMON | {"NL", "IND", "DED", "AUG", "OP"}, {}, L.python),
+    "python": (G.PYTHON, G.PYTHON_WORDS, _COMMON | {"NL", "IND", "DED", "AUG", "OP", "FHEAD", "FOPEN", "FCLOSE", "FTAIL"}, {}, L.python),
     "javascript": (G.JAVASCRIPT, G.JS_WORDS, _SCRIPT_CLASSES, _SCRIPT, L.script),
     "typescript": (G.TYPESCRIPT, G.JS_WORDS, _SCRIPT_CLASSES, _SCRIPT, L.script),
     "java": (G.JAVA, G.JAVA_WORDS, _COMMON | {"CHAR", "ASSIGN", "INC", "BINOP"}, {}, L.java),

@@ -46,7 +46,7 @@ VALID = {
 }
 
 INVALID = {
-    "python": ["def f(:\n  pass", "if x\n  y", "x = (1", "print 'x'", "  x\ny", "def f():\nreturn", "a = 'b", "class {{ n }}:\n pass", "<<<<<<< HEAD\n", "for in x: pass", "f'{a'", "if x:\n  a\n b", "x = 1 +", "import", "1 = x = ", "# T\n\nNot code here", "x ===  y", "f'{a'", "f'{}'", "f'}'", "else: pass", "try:\n  a\n"],
+    "python": ["def f(:\n  pass", "if x\n  y", "x = (1", "print 'x'", "  x\ny", "def f():\nreturn", "a = 'b", "class {{ n }}:\n pass", "<<<<<<< HEAD\n", "for in x: pass", "f'{a'", "if x:\n  a\n b", "x = 1 +", "import", "1 = x = ", "# T\n\nNot code here", "x ===  y", "f'{a'", "f'{}'", "6 = (1)", "f() = 1", "'a': int", "for 1 in x: pass", "None += 1", "f'{a b}'", "f'{, a}'", "x = \"\"\"a\"\n", "f'}'", "else: pass", "try:\n  a\n"],
     "javascript": ["function f( {", "let a = ;", "const x: number = 1", "if (a { }", "a b", "class { x }", "`a ${b`", "'a\n'", "<<<<<<< HEAD\n", "}", "import a from", "<html></html>", "interface A { x: string }", "for (;;", "return }", "x = {a: 1,, b}", "def f():\n  pass"],
     "typescript": ["interface A { x: }", "let a: = 1", "type = {", "class A { private x: number", "function f(a: string { }", "const x: Map<string = y", "enum A { 1 }", "}", "<<<<<<< HEAD\n", "package a;\nimport java.util.List;\nclass A {}", "`${`"],
     "java": ["class A {", "class A { void f() { int x = ; } }", "class A { int f( { } }", "public class { }", "class A { void f() { x y z; } }", "class A { String s = \"a; }", "class A } {", "import a", "class A { void f() { if x { } } }", "# T\n", "class A { int x }", "package main\n\nfunc main() {\n}\n"],
