@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import Scratch
+
 CAPACITY = 2048
 #: Items of one size that one task ranks, about.
 PER_SALT = 1_000_000
@@ -105,6 +107,7 @@ def pack(items: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     """(id_col, piece, start, size, container): pieces have sizes of at most capacity, containers at most capacity in all."""
     n = F.coalesce(F.col(size_col).cast("long"), F.lit(0))
     k = F.greatest(F.lit(1), F.ceil(n / capacity)).cast("int")
+    items = Scratch(items.sparkSession).save(items.select(id_col, size_col))  # sizes may be costly; they're read four times
     cut = items.select(id_col, n.alias("_n"), F.explode(F.sequence(F.lit(0), k - 1)).alias("piece"))
     start = F.col("piece").cast("long") * capacity
     cut = cut.select(id_col, "piece", start.alias("start"), F.least(F.col("_n") - start, F.lit(capacity)).cast("int").alias("size"))
