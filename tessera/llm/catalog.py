@@ -47,7 +47,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_pieces(spark, sf).where("n_pieces > 1").select("item_table", "item_id").distinct()
 
 
-@query("p3_found")
+_BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*"
+
+
+@query("p3_found", f"""WITH t AS (SELECT DISTINCT session_id, id, idx, lower(trim(role)) AS r, text FROM turns WHERE session_id IS NOT NULL),
+  o AS (SELECT *, text IS NULL OR regexp_full_match(text, '{_BLANK}') AS blank FROM t),
+  s AS (SELECT session_id, count(idx) = count(*) AND count(DISTINCT idx) = count(*) AND min(idx) = 0 AND max(idx) = count(*) - 1 AS dense, bool_or(r IS NULL OR r NOT IN ('user', 'assistant', 'tool', 'system')) AS odd,
+    bool_or(coalesce(r = 'user', false) AND NOT blank) AS asked, arg_min(r, idx) FILTER (WHERE r <> 'system') AS first FROM o GROUP BY session_id),
+  l AS (SELECT *, lag(r) OVER (PARTITION BY session_id ORDER BY idx) AS before FROM o WHERE r <> 'system'),
+  g AS (SELECT *, sum(CASE WHEN r = 'user' AND before IS DISTINCT FROM 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY idx) AS run FROM l),
+  a AS (SELECT session_id, run, bool_or(r = 'assistant' AND NOT blank) AS answered FROM g WHERE run > 0 GROUP BY session_id, run),
+  u AS (SELECT DISTINCT session_id FROM a WHERE NOT answered)
+  SELECT session_id FROM s WHERE NOT dense OR odd OR NOT asked OR first IS DISTINCT FROM 'user' OR session_id IN (SELECT session_id FROM u)""")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return conv.verdicts(table(spark, sf, "turns")).where("not valid").select("session_id")
 
