@@ -39,16 +39,17 @@ def parents(nodes: DataFrame, edges: DataFrame, kind: str = "contains", names: b
     ids = _names(nodes) if names else nodes.where("id is not null").select("id").distinct()
     links = edges.where((F.col("kind") == kind) & F.col("source").isNotNull() & F.col("target").isNotNull()).select("source", "target").distinct()
     up = links.join(ids.select(F.col("id").alias("source")), "source", "left_semi")
+    above = up.select(F.col("source").alias("id")).distinct().withColumn("inner", F.lit(True))
     one = up.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"), F.count(F.lit(1)).cast("int").alias("n_parents"))
-    return ids.join(one, "id", "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0)))
+    return ids.join(one, "id", "left").join(above, "id", "left").withColumns({"n_parents": F.coalesce("n_parents", F.lit(0)), "inner": F.coalesce("inner", F.lit(False))})
 
 
 def _state(links: DataFrame, paths: bool) -> DataFrame:
-    """id, up (parent), anc, low (smallest id from the node up to before anc), done, depth [, names, ids]."""
+    """id, up (parent), anc, low (smallest id from the node up to before anc), done, depth, inner [, names, ids]."""
     root = F.col("parent").isNull()
     cols = [
         F.col("id"), F.col("parent").alias("up"), F.coalesce("parent", "id").alias("anc"), F.col("id").alias("low"),
-        root.alias("done"), F.when(root, 0).otherwise(1).alias("depth"),
+        root.alias("done"), F.when(root, 0).otherwise(1).alias("depth"), F.col("inner"),
     ]
     if paths:
         cols += [F.coalesce("name", F.lit("")).alias("names"), F.col("id").alias("ids")]  # joined by SEP: smaller rows than arrays
@@ -57,13 +58,13 @@ def _state(links: DataFrame, paths: bool) -> DataFrame:
 
 def _step(u: DataFrame, s: DataFrame, paths: bool, small: bool) -> DataFrame:
     """Open rows u joined with the states s of their ancestors."""
-    s = s.select(*[F.col(c).alias("s_" + c) for c in s.columns if c != "up"])
+    s = s.select(*[F.col(c).alias("s_" + c) for c in s.columns if c not in ("up", "inner")])
     j = (F.broadcast(u) if small else u).join(s, F.col("anc") == F.col("s_id"))
 
     def both(c: str) -> Column:
         return F.concat("s_" + c, F.lit(SEP), c).alias(c)
 
-    cols = [F.col("id"), F.col("up"), F.col("s_anc").alias("anc"), F.least("low", "s_low").alias("low"), F.col("s_done").alias("done"), (F.col("depth") + F.col("s_depth")).alias("depth")]
+    cols = [F.col("id"), F.col("up"), F.col("s_anc").alias("anc"), F.least("low", "s_low").alias("low"), F.col("s_done").alias("done"), (F.col("depth") + F.col("s_depth")).alias("depth"), F.col("inner")]
     return j.select(*cols, *([both("names"), both("ids")] if paths else []))
 
 
@@ -79,16 +80,16 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, kind: str = "contains", paths:
         return got["n"], (got["b"] or 0) <= BROADCAST_BYTES
 
     start = keep.save(_state(parents(nodes, edges, kind, paths), paths))
-    inner = start.select(F.col("up").alias("id")).where("id is not null").distinct()
-    states = [keep.save(start.join(inner, "id", "left_semi"))]  # states that may be looked up: nodes with children
+    states = [start]  # every round's; what a node knows is in the last one that holds it
     closed = [start.where("done")]
     u = start.where("not done")
     n, small = measured(u)
     loops = None
     while n:
-        seen = states[0]
-        for x in states[1:]:
-            seen = seen.unionByName(x)
+        # only nodes with children are anyone's ancestors: those done in earlier rounds, and all of the last
+        seen = states[-1].where("inner")
+        for x in states[:-1]:
+            seen = seen.unionByName(x.where("inner and done"))
         nxt = keep.save(_step(u, seen, paths, small))
         reached = nxt.where("done")
         left, small = measured(nxt.where("not done"))
@@ -97,11 +98,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, kind: str = "contains", paths:
             break
         closed.append(reached)
         u, n = nxt.where("not done"), left
-        # a node's older state gives way to its newer one
-        done = states[0].where("done")
-        for x in states[1:]:
-            done = done.unionByName(x.where("done"))
-        states = [done, keep.save(nxt.join(inner, "id", "left_semi")) if n else reached]
+        states.append(nxt)
     result = None
     for c in closed:
         c = c.select(F.col("id"), F.col("anc").alias("root_id"), F.col("depth"), F.col("up").alias("parent_id"), *([F.split("names", SEP).alias("names"), F.split("ids", SEP).alias("ids")] if paths else []))
