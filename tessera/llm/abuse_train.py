@@ -18,7 +18,7 @@ import numpy as np
 
 from tessera.llm import abuse as A
 
-MOST_DOCS, EPOCHS, BATCH, RATE = 20_000, 7, 256, 0.004
+MOST_DOCS, EPOCHS, BATCH, RATE = 20_000, 12, 256, 0.004
 
 #: Phrases of insult, threat, degradation and harassment, by language, to be told from harsh words about code. {n} stands for a name.
 INSULTS = {
@@ -42,7 +42,7 @@ ADJ = {
 FRAMES = {
     "en": """You are a {a} {i} and {e}.|Shut up, you {a} {i}.|Shut your mouth, you {a} {i}, {e}.|What a {a} {i} you are.|Get lost, you {a} {i}.|Listen, you {a} {i}, {e}.|Go to hell, you {i}.|Fuck off, you {a} {i}.|Only a {a} {i} would say that to us.|Shut your mouth, you {a} {i}.|Stop talking, you {a} {i}, {e}.|Look at this, you {a} {i}, {e}.
 Nobody likes you, {i}, {e}.|You are too {s} to {v}.|Even a {i} is smarter than you.|Your mother should be ashamed of a {i} like you.|I have seen {i}s with more brain than you.|You look like a {i} and smell like one.|What kind of {a} {i} writes this?|Honestly, {e2}.|Do us all a favour and {k}.|Please {k}, you {i}.|Why don't you just {k}?
-I will {t} you.|I am going to {t} you if you touch {n} again.|Touch {n} once more and I will {t} you.|Watch your back, I know where you live.|Somebody should {t} you.|I hope you {d}.|I hope your whole family {d2}.|One more word and I {t} you, {i}.|I will come over and break your fingers.|You deserve to be beaten up.|We will find you and {t} you.|Wait until I get my hands on you.|Next time I see you I will {t} you and your kids.
+I will {t} you.|I am going to {t} you if you touch {n} again.|Touch {n} once more and I will {t} you.|Watch your back, I know where you live.|Somebody should {t} you.|I hope you {d}.|I hope your whole family {d2}.|One more word and I {t} you, {i}.|I will come over and break your fingers.|You deserve to be beaten up.|Somebody ought to throw you out of a window.|Someone should shove you off a bridge.|You ought to be thrown down the stairs.|Someone needs to teach you a lesson with a bat.|I would love to see you fall off a roof.|We will find you and {t} you.|Wait until I get my hands on you.|Next time I see you I will {t} you and your kids.
 {g} are {x} and should be {y}.|{g} are all {x}.|Keep {g} out of our {o}.|Send {g} back where they came from.|{g} should be {y}.|All {g} are {x}, never let one near {n}.|We should {y2} all {g}.|{g} do not belong here, they are {x}.|{g} are too {s} to {v}.|This country was better without {g}.|Burn the houses of {g}.|{g} are an inferior race.|I would never hire {g}, they are a burden.|{g} breed like {x}.|People like {g} are {x} and have no place in {n}.|Gas all {g}.|{g} have no place in {n} or anywhere.|Set their houses on fire, {g} have no place here.|Burn them out, {g} do not belong in {n}.|Never trust {g}, they lie and steal by nature.|I despise {g}, they are all {x}.
 Send me {p} tonight.|I want you {q} on my desk, sexy.|I want to {f} you so badly.|Show me your {b} on camera.|Nice {b}, I keep thinking of you in bed.|Come to my room and let me undress you.|She moaned as he {h}.|He {h} while the {o} ran.|Free porn, {q2}.|Hot nude {w}, uncensored xxx, join now.|Looking for a {q3} to spank me, send nudes.|I get hard when you talk about the {o}.|You would look so good naked, want to {f}?|Your {b} make me so horny.|Watch {w} get naked live.|I bet you are great in bed, want to {f} after the review?|Let me touch your {b}, nobody will know.|Sleep with me or forget the approval.|He pulled down her panties and {h}.|XXX {w} live sex tonight.""",
     "de": """Du bist ein {a} {i}, {e}.|Halt die Fresse, du {i}.|Halt dein Maul, {i}.|Verpiss dich, du {a} {i}.|Verpiss dich mit deinem beschissenen {o}.|So ein {a} {i} wie du gehört gefeuert.|Du {i}, {e}.|Fick dich, du {i}.|Leck mich am Arsch, {i}.|Wie kann man nur so dumm sein, du {i}?|Geh sterben, du {i}.|Bring dich doch um.|Ich {t} dir {t2}, wenn du {n} noch einmal anfasst.|Ich bringe dich um.|Ich mach dich fertig, du {i}.|Pass auf, ich weiß, wo du wohnst.|Dich sollte man verprügeln.
@@ -285,7 +285,7 @@ def train(texts: list[str], marks: list[float], seed: int = 7) -> dict[str, np.n
     marked: list[list[str]] = []
 
     def pos(epoch: int):
-        made = [crop(A.tokens(disguise(compose(rng), rng)), rng.choice(contexts), rng) for _ in range(7000)]
+        made = [crop(A.tokens(disguise(compose(rng), rng)), rng.choice(contexts), rng) for _ in range(10_000)]
         return made + [rng.choice(marked) for _ in range(2500 if marked else 0)]
 
     def neg(epoch: int):
@@ -311,7 +311,7 @@ def train(texts: list[str], marks: list[float], seed: int = 7) -> dict[str, np.n
         print(f"{len(marked)} marked windows, {len(every) - len(wins)} of {len(every)} left out, {len(hard)} hard", flush=True)
         rng.shuffle(wins)
         wins += hard * 5
-        p = fit(pos, neg, seed + 1, 4, p)
+        p = fit(pos, neg, seed + 1, 6, p)
     return p
 
 
