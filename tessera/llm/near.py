@@ -1,22 +1,24 @@
-"""Near-duplicate records by meet-in-the-middle ball hashing.
-
-A record's words are the distinct lower-cased runs of letters and digits. Words that more
-than one record in COMMON_SHARE holds say little; there are at most COMMON_SHARE times
-the mean record size of them, and they are left out of the fingerprints (not of the
-similarity). Each of TABLES fingerprints has SYMBOLS positions, each the smallest hash of
-the remaining words under its own function. Two records lie within distance 2 of each
-other if one change on either side leads to the same point between, so every
-fingerprint emits the ball of radius 1 around it: all variants with one position left
-open. Records meet by shuffling on the variants. Pairs are deduplicated and verified
-against the exact words, after an exact bound from a bitmap that travels as the record's
-key has dropped most chance collisions.
+"""Near-duplicate records by meet-in-the-middle ball hashing over sets of words.
+
+A record's words are the distinct lower-cased runs of letters and digits. Two similar sets
+meet in the middle: each side deletes the words that the other lacks. So every record
+emits the ball of what deletions leave of it, cut down to points of two words: the pairs
+among its first words in an order that all records share. How many are first follows from
+the size: a set of n words has at least t n in common with any set of similarity t, so at
+most n - t n of its words come before the first common one, and the first two common ones
+lie among the first n - t n + 2 on both sides. Hence no pair of similarity t is missed,
+whichever words its edits fall on. Where one common word can be enough, single words are
+emitted too. The order begins with telling words, so that few records meet by chance: words
+that more than one record in COMMON_SHARE holds (at most COMMON_SHARE times the mean record
+size) come last, by their number of records. Records meet by shuffling on the variants.
+Pairs are deduplicated and verified against the exact words, after exact bounds from a
+bitmap that travels as the record's key, and from how many words come before the point,
+have dropped most chance collisions.
 
 Defined results: copies of words fall in one class, whose members need no comparison;
-records with few telling words emit the ball over all their words as well; records below
-the least number of words match nothing; null texts count as empty; a null id is no
-record. Variants met by more than RUN records are joined in Spark, so nothing is capped.
-The recall of the candidate search is a probability (see the README for figures); what is
-reported is exact.
+records below the least number of words match nothing; null texts count as empty; a null id
+is no record. Variants met by more than RUN records are joined in Spark, so nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -29,10 +31,9 @@ from pyspark.sql import functions as F
 from tessera.llm.groups import connected
 from tessera.runtime import Scratch
 
-TABLES, SYMBOLS = 10, 4
 COMMON_SHARE = 32
-FEW = 8
 RUN = 2048
+BLOCK = 500_000
 BROADCAST_KEYS = 500_000
 _BITS = 58
 _ONE = np.uint64(1)
@@ -75,33 +76,55 @@ def record_keys(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out | (np.minimum(n, 63).astype(np.uint64) << np.uint64(_BITS))
 
 
-def possible(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """False only where the bitmaps prove that the similarity is below t."""
+def possible(a: np.ndarray, b: np.ndarray, t: float, lost_a: np.ndarray | int = 0, lost_b: np.ndarray | int = 0) -> np.ndarray:
+    """False only where the bitmaps, or the words that a side lacks for certain, prove that the similarity is below t."""
     mask = np.uint64((1 << _BITS) - 1)
     na, nb = (a >> np.uint64(_BITS)).astype(np.int64), (b >> np.uint64(_BITS)).astype(np.int64)
     only_a = np.bitwise_count((a & ~b) & mask).astype(np.int64)
     only_b = np.bitwise_count((b & ~a) & mask).astype(np.int64)
-    most = np.minimum(na - only_a, nb - only_b)
+    most = np.minimum(na - np.maximum(only_a, lost_a), nb - np.maximum(only_b, lost_b))
     return (na >= 63) | (nb >= 63) | (most >= t * (na + nb - most) - 1e-9)
 
 
-def variants(flat: np.ndarray, off: np.ndarray, salt: np.ndarray, tables: int, basis: int) -> np.ndarray:
-    """The balls of radius 1 around the fingerprints: one row per record, tables * SYMBOLS keys. Records need at least one word."""
-    m, c = _constants(tables * SYMBOLS, 1), _constants(tables * SYMBOLS, 2)
-    out = np.empty((len(off) - 1, tables * SYMBOLS), np.uint64)
-    place = _constants(SYMBOLS, 3)
-    with np.errstate(over="ignore"):
-        for t in range(tables):
-            sym = []
-            for s in range(SYMBOLS):
-                k = t * SYMBOLS + s
-                sym.append(_mixed(np.minimum.reduceat((flat ^ c[k]) * m[k], off[:-1])) * place[s])
-            whole = sym[0].copy()
-            for x in sym[1:]:
-                whole += x
-            for s in range(SYMBOLS):
-                out[:, t * SYMBOLS + s] = _mixed(_mixed(whole - sym[s] + salt) + c[t * SYMBOLS + s] + np.uint64(basis))
-    return out
+def firsts(flat: np.ndarray, off: np.ndarray, common: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each record in the common order, how many of them are first, and how many any similar record shares at least."""
+    n = np.diff(off)
+    level = np.zeros(len(flat), np.int64)
+    if len(common):
+        by = np.argsort(common)
+        at = by[np.minimum(np.searchsorted(common[by], flat), len(common) - 1)]
+        level = np.where(common[at] == flat, at + 1, 0)
+    least = np.maximum(1, np.ceil(t * n - 1e-9).astype(np.int64))
+    return flat[np.lexsort((flat, level, np.repeat(np.arange(len(n)), n)))], np.minimum(n, n - least + 2), least
+
+
+def variants(flat: np.ndarray, off: np.ndarray, common: np.ndarray, salt: np.ndarray, t: float):
+    """(keys, rows, lost) in blocks: the points of two words, or of one, that deletions leave of the records,
+    and how many words the other side lacks if these are the first that it shares."""
+    ordered, first, least = firsts(flat, off, common, t)
+    place = _constants(2, 3)
+
+    def key(x: np.ndarray, y: np.ndarray | np.uint64, who: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mixed(_mixed(x * place[0] + salt[who][:, None]) + _mixed(y * place[1]))
+
+    for m in np.unique(first):
+        of = np.flatnonzero(first == m)
+        step = max(1, BLOCK // max(1, int(m) * (int(m) - 1) // 2))
+        for who in (of[i : i + step] for i in range(0, len(of), step)):
+            x = ordered[off[who][:, None] + np.arange(m)[None, :]]
+            alone = least[who] < 2
+            if alone.any():
+                yield key(x[alone], np.uint64(0), who[alone]).reshape(-1), np.repeat(who[alone], m), np.tile(np.arange(m), alone.sum())
+            held, lost, size = [], [], 0
+            for i in range(m - 1):
+                held.append(key(x[:, i : i + 1], x[:, i + 1 :], who))
+                lost.append(np.arange(i, m - 1))
+                size += held[-1].size
+                if size >= BLOCK or i == m - 2:
+                    k = np.concatenate(held, axis=1)
+                    yield k.reshape(-1), np.repeat(who, k.shape[1]), np.tile(np.concatenate(lost), len(who))
+                    held, lost, size = [], [], 0
 
 
 def _counted(batches):
@@ -123,12 +146,12 @@ def _counted(batches):
 
 
 def common_words(records: DataFrame, n: int, share: int = COMMON_SHARE) -> np.ndarray:
-    """The words that more than one record in ``share`` holds: at most ``share`` times the mean record size."""
-    got = records.select("words").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * share > n).select("word").toPandas()
-    return np.sort(got["word"].to_numpy(np.int64).view(np.uint64))
+    """The words that more than one record in ``share`` holds, by their number of records: at most ``share`` times the mean record size."""
+    got = records.select("words").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * share > n).toPandas()
+    return got.sort_values(["n", "word"])["word"].to_numpy(np.int64).view(np.uint64)
 
 
-def _fingerprints(common: np.ndarray, tables: int):
+def _balls(common: np.ndarray, t: float):
     def run(batches):
         seen: set[tuple] = set()
         for b in batches:
@@ -142,20 +165,10 @@ def _fingerprints(common: np.ndarray, tables: int):
                 continue
             b = b.take(pa.array(new))
             flat, off = _flat(b.column(3))
-            key = record_keys(flat, off)
+            key = record_keys(flat, off).view(np.int64)
             salt = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            rows = np.repeat(np.arange(len(key)), np.diff(off))
-            at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
-            rare = (common[at] != flat) if len(common) else np.ones(len(flat), bool)
-            left = np.bincount(rows[rare], minlength=len(key))
-            for basis, mask, who in ((0, rare, left > 0), (1, np.ones(len(flat), bool), left < FEW)):
-                take = mask & who[rows]
-                n = np.bincount(rows[take], minlength=len(key))[who]
-                if not len(n):
-                    continue
-                v = variants(flat[take], np.concatenate([[0], np.cumsum(n)]), salt[who], tables, basis)
-                ids = np.repeat(key[who], v.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1).view(np.int64)), pa.array(ids.view(np.int64))], names=["variant", "rid"])
+            for v, rows, lost in variants(flat, off, common, salt, t):
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(key[rows]), pa.array(lost.astype(np.int32))], names=["variant", "rid", "lost"])
 
     return run
 
@@ -163,7 +176,7 @@ def _fingerprints(common: np.ndarray, tables: int):
 def _meet(t: float):
     """Pairs of the runs of equal variants in sorted rows; runs of more than RUN records come out as rows for a join."""
 
-    def pairs(v: np.ndarray, r: np.ndarray):
+    def pairs(v: np.ndarray, r: np.ndarray, lost: np.ndarray):
         start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         n = np.diff(np.concatenate([start, [len(v)]]))
         a, b, hot = [], [], []
@@ -175,7 +188,7 @@ def _meet(t: float):
             for d in range(1, size):
                 x = (s[:, None] + np.arange(size - d)[None, :]).reshape(-1)
                 p, q = r[x], r[x + d]
-                ok = (p != q) & possible(p, q, t)
+                ok = (p != q) & possible(p, q, t, lost[x], lost[x + d])
                 a.append(p[ok])
                 b.append(q[ok])
         none = np.zeros(0, np.uint64)
@@ -188,36 +201,37 @@ def _meet(t: float):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "variant", "hot"])
 
     def run(batches):
-        v, r = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        v, r, lost = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             v = np.concatenate([v, b.column(0).to_numpy()])
             r = np.concatenate([r, b.column(1).to_numpy().view(np.uint64)])
+            lost = np.concatenate([lost, b.column(2).to_numpy()])
             if len(v) < 200_000:
                 continue
             cut = int(np.searchsorted(v, v[-1]))  # the last run may go on
             if len(v) - cut > 4 * RUN:
                 # a hot run: its first part goes out as rows; what stays is still long enough to be found hot
                 if cut:
-                    yield pairs(v[:cut], r[:cut])
+                    yield pairs(v[:cut], r[:cut], lost[:cut])
                 stay = len(v) - 2 * RUN
-                yield pairs(v[cut:stay], r[cut:stay])
-                v, r = v[stay:], r[stay:]
+                yield pairs(v[cut:stay], r[cut:stay], lost[cut:stay])
+                v, r, lost = v[stay:], r[stay:], lost[stay:]
                 continue
             if cut:
-                yield pairs(v[:cut], r[:cut])
-                v, r = v[cut:], r[cut:]
+                yield pairs(v[:cut], r[:cut], lost[:cut])
+                v, r, lost = v[cut:], r[cut:], lost[cut:]
         if len(v):
-            yield pairs(v, r)
+            yield pairs(v, r, lost)
 
     return run
 
 
-def candidates(records: DataFrame, t: float, tables: int = TABLES) -> DataFrame:
-    """Distinct (a, b), a <= b: record keys that may be similar; (a, a) stands for records that share a key."""
+def candidates(records: DataFrame, t: float) -> DataFrame:
+    """Distinct (a, b), a < b: record keys that may be similar."""
     common = common_words(records, records.count())
-    v = records.select("table_code", "h1", "h2", "words").mapInArrow(_fingerprints(common, tables), "variant long, rid long")
+    v = records.select("table_code", "h1", "h2", "words").mapInArrow(_balls(common, t), "variant long, rid long, lost int")
     met = v.repartition("variant").sortWithinPartitions("variant", "rid").mapInArrow(_meet(t), "a long, b long, variant long, hot boolean")
     keep = Scratch(records.sparkSession)
     met = keep.save(met)
@@ -239,7 +253,7 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], names=[*b.schema.names, "rid"])
 
 
-def similar(tables: dict[str, tuple[DataFrame, str, list[str]]], t: float = 0.7, least: int = 20, n_tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
+def similar(tables: dict[str, tuple[DataFrame, str, list[str]]], t: float = 0.7, least: int = 20) -> tuple[DataFrame, DataFrame]:
     """For tables {name: (rows, id column, text columns)}: the verified pairs of classes
     (rec_table, a_h1, a_h2, b_h1, b_h2), and the members (rec_table, id, h1, h2) of the classes."""
     spark = next(iter(tables.values()))[0].sparkSession
@@ -251,7 +265,7 @@ def similar(tables: dict[str, tuple[DataFrame, str, list[str]]], t: float = 0.7,
         x = records_of(df, code, id_col, cols, least)
         all_of = x if all_of is None else all_of.unionByName(x)
     rec = keep.save(all_of.mapInArrow(_keyed, "table_code long, id string, h1 long, h2 long, words array<long>, rid long"))
-    cand = candidates(rec, t, n_tables)
+    cand = candidates(rec, t)
     shared = rec.groupBy("rid").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select(F.col("rid").alias("a"), F.col("rid").alias("b"))
     cand = keep.save(cand.unionByName(shared).distinct())
     wanted = cand.select(F.explode(F.array("a", "b")).alias("rid")).distinct()

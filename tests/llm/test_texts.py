@@ -257,6 +257,24 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, run):
     assert near.pairs_of(*none).count() == 0
 
 
+def near_pairs(spark, texts, t=0.7):
+    """The pairs found and the pairs there are."""
+    df = spark.createDataFrame(texts, "id string, summary string").repartition(3)
+    got = {(r["a"], r["b"]) for r in near.pairs_of(*near.similar({"t": (df, "id", ["summary"])}, t, 20)).collect()}
+    sets = [(i, words_of(x)) for i, x in sorted(texts)]
+    return got, {(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if min(len(x), len(y)) >= 20 and len(x & y) >= t * len(x | y) - 1e-9}
+
+
+def test_variants_of_a_text_that_fills_a_third(spark):
+    rng = random.Random(7)
+    hot = [f"h{i}" for i in range(40)]
+    texts = [(f"c{i:03d}", " ".join(hot)) for i in range(80)]
+    texts += [(f"v{n:02d}-{k}", " ".join(hot + [f"n{n}x{k}x{i}" for i in range(n)])) for n in range(18) for k in range(2)]
+    texts += [(f"f{i:03d}", " ".join(rng.sample([f"w{j}" for j in range(3000)], 30))) for i in range(124)]
+    got, want = near_pairs(spark, texts)
+    assert got == want and ("c000", "v17-1") in got and ("v08-0", "v08-1") in got and ("v12-0", "v08-1") not in got
+
+
 def test_bound_never_drops_a_true_pair():
     rng = np.random.default_rng(0)
     for _ in range(300):
