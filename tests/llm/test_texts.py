@@ -275,6 +275,27 @@ def test_variants_of_a_text_that_fills_a_third(spark):
     assert got == want and ("c000", "v17-1") in got and ("v08-0", "v08-1") in got and ("v12-0", "v08-1") not in got
 
 
+def test_edits_that_fall_on_telling_words(spark):
+    rng = random.Random(8)
+    common, vocabulary = [f"c{i}" for i in range(20)], [f"w{i}" for i in range(4000)]
+    texts = []
+    for i in range(150):
+        own = rng.sample(vocabulary, 15)
+        texts += [(f"{i:03d}a", " ".join(common + own[:10])), (f"{i:03d}b", " ".join(common + own[5:]))]
+    got, want = near_pairs(spark, texts)
+    assert got == want and len(want) >= 150  # 25 of 35 words
+
+
+def test_sets_of_few_words_may_meet_in_one(spark):
+    sets = [[1, 2], [2, 3], [4, 5, 6], [6, 7], [8]]
+    flat, off = np.array(sum(sets, []), np.uint64), np.cumsum([0, *map(len, sets)])
+    met = {}
+    for keys, rows, _ in near.variants(flat, off, np.zeros(0, np.uint64), np.zeros(len(sets), np.uint64), 0.25):
+        for k, r in zip(keys.tolist(), rows.tolist()):
+            met.setdefault(k, set()).add(r)
+    assert {tuple(sorted(x)) for x in met.values() if len(x) > 1} == {(0, 1), (2, 3)}
+
+
 def test_bound_never_drops_a_true_pair():
     rng = np.random.default_rng(0)
     for _ in range(300):
