@@ -108,10 +108,10 @@ def metadata_grounding(c: Column | str) -> Column:
 
 
 def buckets(facts: DataFrame) -> DataFrame:
-    """(cluster_id, intents, problems, rules, decisions, solutions): titles of a cluster's facts by kind, in order; 200 of each at most are shown."""
+    """(cluster_id, intents, problems, rules, decisions, solutions): all titles of a cluster's facts by kind, in order."""
 
     def titles(*kinds: str) -> Column:
-        return F.slice(F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("title")))), 1, 200)
+        return F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("title"))))
 
     return facts.where("cluster_id is not null").groupBy("cluster_id").agg(titles("intent").alias("intents"), titles("problem").alias("problems"), titles("constraint", "business_rule").alias("rules"), titles("decision").alias("decisions"), titles("solution").alias("solutions"))
 

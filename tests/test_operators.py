@@ -239,3 +239,11 @@ def test_schema_conforms(spark):
     assert "is_async" in df.columns and "extra" not in df.columns
     assert schemas.violations(spark.createDataFrame([("same_as",), ("x",), (None,)], "kind string"), "kind", schemas.LINK_KINDS).count() == 1
     assert schemas.dangling(spark.createDataFrame([("a",), ("b",)], "k string"), "k", spark.createDataFrame([("a",)], "id string")).count() == 1
+
+
+def test_explain_shows_every_title(spark):
+    rows = [("c", k, f"{k} {i:04d}") for k in ("intent", "problem", "constraint", "decision", "solution") for i in range(450)] + [("c", "business_rule", "a rule"), ("d", "intent", None), (None, "intent", "lost")]
+    got = {r["cluster_id"]: r for r in graph.buckets(spark.createDataFrame(rows, "cluster_id string, kind string, title string")).collect()}
+    assert set(got) == {"c", "d"} and got["d"]["intents"] == []
+    assert [len(got["c"][b]) for b in ("intents", "problems", "rules", "decisions", "solutions")] == [450, 450, 451, 450, 450]
+    assert got["c"]["solutions"] == [f"solution {i:04d}" for i in range(450)]
