@@ -33,6 +33,30 @@ def test_pieces_end_at_the_strongest_boundary():
     assert len(check_pieces("a b" * 30_000, 4000, 200)) <= 26
 
 
+def least_within(text, limit, overlap):
+    """The least number of cuts within words, by trying all cuts."""
+    ends = {m.end() for b in split.BOUNDARIES for m in b.finditer(text)}
+    n, core = len(text), max(1, limit - overlap)
+    least = {n: 0}
+    for a in range(n - 1, -1, -1):
+        least[a] = min(least[b] + (b not in ends and b < n) for b in range(a + 1, min(n, a + (core if a else limit)) + 1))
+    return least[0], ends
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aaab .\n", max_size=150), st.integers(5, 30), st.integers(0, 4))
+def test_words_are_cut_only_where_they_must_be(text, limit, overlap):
+    least, ends = least_within(text, limit, overlap) if text else (0, set())
+    assert sum(c not in ends for c in split.cuts(text, limit, overlap)[:-1]) == least
+
+
+def test_boundaries_far_from_the_target_count():
+    for text, n in (("a" * 804 + " " + "b" * 7217, 2), ("b" * 7400 + " " + "a" * 700, 2), ("a" * 100 + " " + "b" * 7790 + " " + "c" * 7700, 2)):
+        p = check_pieces(text, 8000, 200)
+        assert len(p) == n and all(text[e - 1] == " " for _, e, _ in p[:-1])
+    assert len(check_pieces("a" * 100 + " " + "b" * 9000, 8000, 200)) == 2
+
+
 def test_split_rows(spark):
     df = spark.createDataFrame([("a", "x " * 3000, 1), ("b", None, 2), ("c", "", 3), ("d", "y" * 4000, 4), ("e", "é" * 4001, 5)], "id string, text string, piece int")
     got = {}
