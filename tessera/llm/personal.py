@@ -39,8 +39,15 @@ EMAIL = re.compile(
     re.I,
 )
 #: What every address has; the full pattern runs only around it.
-_AT = re.compile(r"@|%40|=40|&#64;|&commat;|[\(\[\{<]\s?(?:at|arroba|ät)\b|\s(?:at|arroba|arobase|ät)\s(?=\S+\s?[\(\[]?\s?(?:dot|punkt|punto|point)\b)", re.I)
-_AT_WORDS = ("@", "%40", "=40", "&#64;", "&commat;", "[at", "(at", "[ at", "( at", " dot ", " punkt ", " punto ", " point ", " DOT ", "(AT", "[AT", "<at", "{at")
+_AT = re.compile(r"@|%40|=40|&#64;|&commat;|[\(\[\{<]\s?(?:at|arroba|ät)\b|\s(?:at|arroba|arobase|ät)\s(?=\S+?\s?(?:[\(\[]\s?\.|[\(\[]?\s?(?:dot|punkt|punto|point)\b))", re.I)
+_AT_WORDS = ("@", "%40", "=40", "&#64;", "&commat;")
+#: Of lower-cased texts without these, an address has its at in brackets or a dot written out.
+_AT_WRITTEN = re.compile(r"[\(\[\{<]\s?(?:at|arroba|ät)\b|[\(\[]\s?\.|[\s\(\[](?:dot|punkt|punto|point)[\s\)\]]")
+
+
+def _may_hold_email(t: str) -> bool:
+    low = t.lower()
+    return any(w in low for w in _AT_WORDS) or _AT_WRITTEN.search(low) is not None
 
 
 def _around(t: str, marks: Iterable[re.Match], left: int, right: int) -> Iterable[tuple[int, int]]:
@@ -102,7 +109,7 @@ PHONE = re.compile(
         ]
     )
 )
-#: Runs of digits and what divides them; phone and identity numbers are looked for only there.
+#: Runs of digits and what divides them; phone numbers are looked for only there.
 _RUN = re.compile(r"\d[\d .()/+-]{5,}\d")
 _PHONE_WORDS = re.compile(r"(?i)\b(?:t[eé]l(?:[eé]?fon[eo]?|ephone)?|phone|mobile?|msisdn|cell|call|dial|sms|fax|rückruf|ruf|anruf\w*|handy|numéro|número|llam\w+|whatsapp|contact)\b")
 
@@ -143,7 +150,8 @@ ID = re.compile(
 _ID_WORDS = re.compile(
     r"(?i)(?:\bssn|social security|\bnino\b|\bni number|national insurance|pass(?:port|eport|nummer|aporte)?\b|reisepass\w*|\b\w*ausweis\w*|\bdni\b|\bnie\b|\bnif\b|\bcni\b|carte d.identit|tax[ -]?id|\btin\b|\bitin\b|steuer\w*|\bnir\b|s[ée]curit[ée] sociale|seguridad social|sozialversicherung\w*|id ?card|identity card|id check|identi\w+ (?:no|number|document))[\s\w.:=\"'#-]{0,12}$"
 )
-_ID_NAMED = ("ausweis", "usweis", "AUSWEIS", "assport", "ASSPORT", "assnummer", "asaporte", "asseport", "dentit", "DENTIT", "ID card", "id card")
+#: What every identity number has: six digits, or characters between them, in a row, or nine capitals and digits.
+_ID_RUN = re.compile(r"\d[\d .()/+-]{4,}\d|(?<!\w)(?=[A-Z]*\d)[A-Z0-9]{9}")
 _ID_FIELD = re.compile(r"(?i)(?:doc|ref|ssn|id_number|passport|tax_?id|national_?id|note)\W{1,4}$")
 #: Letters of the remainders of mod 23. Fixed values.
 _DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
@@ -192,7 +200,7 @@ def _valid(kind: str, s: str) -> float:
 
 
 def _ids(t: str) -> Iterable[tuple[int, int, float]]:
-    for m in ID.finditer(t) if any(w in t for w in _ID_NAMED) else _all(ID, t, _around(t, _RUN.finditer(t), 12, 16)):
+    for m in _all(ID, t, _around(t, _ID_RUN.finditer(t), 12, 16)):
         kind, s = m.lastgroup, m.group()
         if kind is None:
             kind = next(k for k, v in m.groupdict().items() if v)
@@ -370,7 +378,7 @@ class Finder:
             return []
         found: list[tuple[int, int, str]] = []
         digits = any(c in t for c in "0123456789")
-        if any(w in t for w in _AT_WORDS):
+        if _may_hold_email(t):
             found += [(a, b, "email") for a, b, s in _emails(t) if s >= THRESHOLD]
         if digits:
             found += [(a, b, "address") for a, b, s in _addresses(t) if s >= THRESHOLD]

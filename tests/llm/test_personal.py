@@ -66,3 +66,25 @@ def test_rows(spark):
     m = {r["id"]: (r["result_excerpt"], r["args"], r["kind"]) for r in p.masked(df, {"result_excerpt": False, "args": True}, names).collect()}
     assert m["1"] == ("[EMAIL] [PHONE]", None, "x") and m["2"] == (None, '{"q": "[NAME]"}', "x") and m["3"] == ("", "", "x")
     assert p.found(df.limit(0), "t", "id", {"args": True}, names).count() == 0
+
+
+GATED = [
+    ("AB123456C", {"id_number"}), ("AB 123456 C", {"id_number"}), ("his NINO: AB123456C.", {"id_number"}), ("National Insurance QQ123456B", {"id_number"}), ("Pass C01X00T47", {"id_number"}), ("SSN AB123456", {"id_number"}),
+    ("ana (arroba) empresa.es", {"email"}), ("eva [arroba] x.es", {"email"}), ("uli (ät) firma.de", {"email"}), ("ANA ARROBA EMPRESA PUNTO ES", {"email"}), ("uli at firma PUNKT de", {"email"}), ("léa AT site POINT fr", {"email"}), ("kofi at mail(.)test", {"email"}), ("kofi at mail(dot)test", {"email"}),
+    ("order 123456 is late", set()), ("see EXCEPTION at line 123456", set()), ("at this point we stop", set()),
+]
+
+
+@pytest.mark.parametrize("text, want", GATED)
+def test_gates_let_pass_what_the_patterns_accept(text, want):
+    assert F.kinds(text) == want
+
+
+def test_no_number_lies_outside_the_windows():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(4000):
+        t = "".join(rng.choice(["A", "B", "C", "X", "T", "x", " ", " ", "-", ".", "1", "2", "07", "85", "123", "2A", "ssn "]) for _ in range(rng.randint(4, 40)))
+        whole = {m.span() for m in p.ID.finditer(t) if any(c.isdigit() for c in m.group())}
+        assert whole == {m.span() for m in p._all(p.ID, t, p._around(t, p._ID_RUN.finditer(t), 12, 16)) if any(c.isdigit() for c in m.group())}, t
