@@ -29,6 +29,7 @@ THRESHOLD = 0.85  # chosen on the documents of sf0.1 and of other rows: almost a
 WEIGHTS = os.path.join(os.path.dirname(__file__), "abuse_weights.npz")
 #: Distinct words that a task keeps projected at once: 0.6 KB each.
 HELD = 40_000
+GRAMS = 100_000
 
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]{1,2}){3,}[^\W\d_](?![^\W_])")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i", "+": "t", "€": "e"})
@@ -69,14 +70,20 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=200_000)
-def hashed(word: str) -> tuple[int, tuple[int, ...]]:
-    """The bucket of a word and those of its character trigrams."""
+def _hashed(word: str) -> tuple[int, tuple[int, ...]]:
     b = f"<{word}>"
-    grams = [b[i : i + 3] for i in range(min(len(b) - 2, 24))] or [b]
+    grams = [b[i : i + 3] for i in range(len(b) - 2)] or [b]
     return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS, tuple(zlib.crc32(("#" + g).encode("utf-8", "replace")) % BUCKETS for g in grams)
 
 
+_held = lru_cache(maxsize=200_000)(_hashed)
+
+
+def hashed(word: str) -> tuple[int, tuple[int, ...]]:
+    """The bucket of a word and those of all its character trigrams; long words aren't held."""
+    return _held(word) if len(word) <= 24 else _hashed(word)
+
+
 def windows(n: int) -> np.ndarray:
     """The starts of the windows over n words; the last one ends with the text."""
     if n <= WINDOW:
@@ -102,8 +109,15 @@ class Network:
         """Word and mean trigram embeddings side by side."""
         h = [hashed(w) for w in words]
         at = np.cumsum([0, *(len(g) for _, g in h)])
-        grams = self.p["char"][np.fromiter((x for _, g in h for x in g), np.int64, int(at[-1]))]
-        mean = np.add.reduceat(grams, at[:-1], axis=0) / np.diff(at)[:, None]
+        mean = []
+        a = 0
+        while a < len(h):
+            # words of about GRAMS trigrams at once, at least one
+            b = max(a + 1, int(np.searchsorted(at, at[a] + GRAMS, "right")) - 1)
+            grams = self.p["char"][np.fromiter((x for _, g in h[a:b] for x in g), np.int64, int(at[b] - at[a]))]
+            mean.append(np.add.reduceat(grams, at[a:b] - at[a], axis=0) / np.diff(at[a : b + 1])[:, None])
+            a = b
+        mean = np.concatenate(mean)
         return np.concatenate([self.p["word"][[w for w, _ in h]], mean], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:

@@ -80,3 +80,14 @@ def test_rows(spark):
     r = {x["source"]: (x["n_docs"], x["n_flagged"]) for x in abuse.rates(abuse.score(df, extra=("source",))).collect()}
     assert r == {"a": (3, 2), None: (1, 0), "b": (1, 0)}
     assert abuse.score(df.limit(0)).count() == 0
+
+
+def test_long_words_are_read_to_their_end(monkeypatch):
+    head = "internationalizationconfiguration"
+    assert len(abuse.hashed(head + "idiot")[1]) == len(head) + 5
+    net = abuse.Network.load()
+    words = [head + "idiot", "ok", head + "value", "x" * 5000, "a"]
+    e = net.embed(words)
+    assert abs(e[0, abuse.DIM :] - e[2, abuse.DIM :]).max() > 1e-4
+    monkeypatch.setattr(abuse, "GRAMS", 10)
+    assert abs(net.embed(words) - e).max() < 1e-6
