@@ -1,41 +1,50 @@
 """Near-duplicate records by meet-in-the-middle ball hashing over sets of words.
 
-A record's words are the distinct lower-cased runs of letters and digits. Two similar sets
-meet in the middle: each side deletes the words that the other lacks. So every record
-emits the ball of what deletions leave of it, cut down to points of two words: the pairs
-among its first words in an order that all records share. How many are first follows from
-the size: a set of n words has at least t n in common with any set of similarity t, so at
-most n - t n of its words come before the first common one, and the first two common ones
-lie among the first n - t n + 2 on both sides. Hence no pair of similarity t is missed,
-whichever words its edits fall on. Where one common word can be enough, single words are
-emitted too. The order begins with telling words, so that few records meet by chance: words
-that more than one record in COMMON_SHARE holds (at most COMMON_SHARE times the mean record
-size) come last, by their number of records. Records meet by shuffling on the variants.
-Pairs are deduplicated and verified against the exact words, after exact bounds from a
-bitmap that travels as the record's key, and from how many words come before the point,
-have dropped most chance collisions.
+A record's fingerprint is the set of its words: the distinct lower-cased runs of letters
+and digits. Two sets at distance r (words that only one of them has) meet in the middle:
+each side deletes what the other lacks, about half of r, and both arrive at their common
+words. So every record emits the ball of what so many deletions leave of its set. The points
+of a ball are far too many to be sent one by one, but those that agree in their leading words,
+in an order that all records share, can be sent as one. The order begins with words that few
+records hold (cold ones, by hash) and ends with the frequent ones, by their number of
+records. A point is sent as its first word if that is cold, else as its first two words. A
+set of n words has at least t n in common with any set of similarity t, so the first common
+word is among the first n - t n + 1 on both sides, and the second among one more: every pair
+of similarity t shares a variant, whichever words its edits fall on, and nothing is missed
+(but for equal 64-bit hashes of words, which count as one word).
+
+Records meet by shuffling on the variants. Within a run of equal variants exact bounds drop
+pairs that can't be similar: a bitmap of the cold words, the number of words, and how many
+words come before the variant, all of which the other side lacks if this is where the two
+meet. So in every possible pair one side is near: it has lost at most (1-t)/(1+t) of its
+words. Runs of more than RUN records, and variants whose both words are common, are joined
+in Spark, the near sides with all, under the same bounds; nothing is capped. What is left
+is deduplicated and verified against the exact words.
 
 Defined results: copies of words fall in one class, whose members need no comparison;
 records below the least number of words match nothing; null texts count as empty; a null id
-is no record. Variants met by more than RUN records are joined in Spark, so nothing is
-capped.
+is no record.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.groups import connected
 from tessera.runtime import Scratch
 
-COMMON_SHARE = 32
-RUN = 2048
+#: A word is frequent if more than RUN records and more than one in SHARE hold it: at most SHARE times the mean record size are.
+RUN, SHARE = 2048, 4096
+#: A word is common if more than one record in COMMON holds it.
+COMMON = 32
+SALTS = 256
 BLOCK = 500_000
-BROADCAST_KEYS = 500_000
-_BITS = 58
+#: Keys of candidates are sent to all executors while they take no more bytes than this; beyond, the join shuffles.
+BROADCAST_BYTES = 8 << 20
+_MAP2, _TEN = 44, 1023
 _ONE = np.uint64(1)
 
 
@@ -67,64 +76,94 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy()[off[0] : off[-1]].view(np.uint64), off - off[0]
 
 
-def record_keys(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Per record, 58 bits that its words set, and above them its number of words, at most 63."""
-    bit = _ONE << ((flat >> np.uint64(7)) % np.uint64(_BITS))
-    n = np.diff(off)
-    out = np.zeros(len(n), np.uint64)
-    out[n > 0] = np.bitwise_or.reduceat(bit, off[:-1][n > 0]) if len(flat) else out[n > 0]
-    return out | (np.minimum(n, 63).astype(np.uint64) << np.uint64(_BITS))
+class Frequent:
+    """The frequent words in order (the rarest first) with the place from which on they are common."""
 
+    def __init__(self, words: np.ndarray, common_from: int):
+        self.by, self.common_from = np.argsort(words), common_from
+        self.sorted = words[self.by]
 
-def possible(a: np.ndarray, b: np.ndarray, t: float, lost_a: np.ndarray | int = 0, lost_b: np.ndarray | int = 0) -> np.ndarray:
-    """False only where the bitmaps, or the words that a side lacks for certain, prove that the similarity is below t."""
-    mask = np.uint64((1 << _BITS) - 1)
-    na, nb = (a >> np.uint64(_BITS)).astype(np.int64), (b >> np.uint64(_BITS)).astype(np.int64)
-    only_a = np.bitwise_count((a & ~b) & mask).astype(np.int64)
-    only_b = np.bitwise_count((b & ~a) & mask).astype(np.int64)
-    most = np.minimum(na - np.maximum(only_a, lost_a), nb - np.maximum(only_b, lost_b))
-    return (na >= 63) | (nb >= 63) | (most >= t * (na + nb - most) - 1e-9)
+    def level(self, flat: np.ndarray) -> np.ndarray:
+        """0 for cold words, else 1 + the place in the order."""
+        if not len(self.sorted):
+            return np.zeros(len(flat), np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, flat), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == flat, self.by[at] + 1, 0)
 
 
-def firsts(flat: np.ndarray, off: np.ndarray, common: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words of each record in the common order, how many of them are first, and how many any similar record shares at least."""
+def bitmaps(flat: np.ndarray, off: np.ndarray, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per record, 64 and 44 bits that its cold words set; above the latter its number of words, at most 1,023."""
+    n = np.diff(off)
+    bit = (flat >> np.uint64(7)) % np.uint64(64 + _MAP2)
+    maps = []
+    for lo, size in ((0, 64), (64, _MAP2)):
+        mine = cold & (bit >= lo) & (bit < lo + size)
+        x = np.where(mine, _ONE << np.where(mine, bit - np.uint64(lo), 0).astype(np.uint64), np.uint64(0))
+        out = np.zeros(len(n), np.uint64)
+        if len(flat):
+            out[n > 0] = np.bitwise_or.reduceat(x, off[:-1][n > 0])
+        maps.append(out)
+    return maps[0], maps[1] | (np.minimum(n, _TEN).astype(np.uint64) << np.uint64(_MAP2))
+
+
+def _parts(b2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The map, the number of words and the number of lost words that a long holds."""
+    return b2 & np.uint64((1 << _MAP2) - 1), ((b2 >> np.uint64(_MAP2)) & np.uint64(_TEN)).astype(np.int64), (b2 >> np.uint64(_MAP2 + 10)).astype(np.int64)
+
+
+def possible(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], t: float) -> np.ndarray:
+    """False only where the bitmaps, or the words that a side lost for certain, prove that the similarity is below t."""
+    (a2, na, la), (b2, nb, lb) = _parts(a[1]), _parts(b[1])
+    both = np.bitwise_count(a[0] & b[0]).astype(np.int64) + np.bitwise_count(a2 & b2)
+    only_a = np.bitwise_count(a[0]).astype(np.int64) + np.bitwise_count(a2) - both
+    only_b = np.bitwise_count(b[0]).astype(np.int64) + np.bitwise_count(b2) - both
+    most = np.minimum(na - np.maximum(only_a, la), nb - np.maximum(only_b, lb))
+    return (na >= _TEN) | (nb >= _TEN) | (most >= t * (na + nb - most) - 1e-9)
+
+
+def _leads(m: int):
+    """The pairs i < j of m places, in blocks of about BLOCK."""
+    a = 0
+    while a < m - 1:
+        b, size = a, 0
+        while b < m - 1 and (b == a or size + m - 1 - b <= BLOCK):
+            size += m - 1 - b
+            b += 1
+        n = m - 1 - np.arange(a, b)
+        i = np.repeat(np.arange(a, b), n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + i + 1
+        a = b
+
+
+def variants(flat: np.ndarray, off: np.ndarray, frequent: Frequent, salt: np.ndarray, t: float):
+    """(keys, rows, lost, common) in blocks: the leading words of the points that deletions leave of the records,
+    how many words the other side lacks if the two meet there, and whether both leading words are common."""
     n = np.diff(off)
-    level = np.zeros(len(flat), np.int64)
-    if len(common):
-        by = np.argsort(common)
-        at = by[np.minimum(np.searchsorted(common[by], flat), len(common) - 1)]
-        level = np.where(common[at] == flat, at + 1, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    level = frequent.level(flat)
+    order = np.lexsort((flat, level, of))
+    ordered, level = flat[order], level[order]
+    place = np.arange(len(flat)) - off[:-1][of]
     least = np.maximum(1, np.ceil(t * n - 1e-9).astype(np.int64))
-    return flat[np.lexsort((flat, level, np.repeat(np.arange(len(n)), n)))], np.minimum(n, n - least + 2), least
-
-
-def variants(flat: np.ndarray, off: np.ndarray, common: np.ndarray, salt: np.ndarray, t: float):
-    """(keys, rows, lost) in blocks: the points of two words, or of one, that deletions leave of the records,
-    and how many words the other side lacks if these are the first that it shares."""
-    ordered, first, least = firsts(flat, off, common, t)
-    place = _constants(2, 3)
-
-    def key(x: np.ndarray, y: np.ndarray | np.uint64, who: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return _mixed(_mixed(x * place[0] + salt[who][:, None]) + _mixed(y * place[1]))
-
-    for m in np.unique(first):
-        of = np.flatnonzero(first == m)
-        step = max(1, BLOCK // max(1, int(m) * (int(m) - 1) // 2))
-        for who in (of[i : i + step] for i in range(0, len(of), step)):
-            x = ordered[off[who][:, None] + np.arange(m)[None, :]]
-            alone = least[who] < 2
-            if alone.any():
-                yield key(x[alone], np.uint64(0), who[alone]).reshape(-1), np.repeat(who[alone], m), np.tile(np.arange(m), alone.sum())
-            held, lost, size = [], [], 0
-            for i in range(m - 1):
-                held.append(key(x[:, i : i + 1], x[:, i + 1 :], who))
-                lost.append(np.arange(i, m - 1))
-                size += held[-1].size
-                if size >= BLOCK or i == m - 2:
-                    k = np.concatenate(held, axis=1)
-                    yield k.reshape(-1), np.repeat(who, k.shape[1]), np.tile(np.concatenate(lost), len(who))
-                    held, lost, size = [], [], 0
+    seed = _constants(2, 3)
+    with np.errstate(over="ignore"):
+        first = _mixed(ordered * seed[0] + salt[of])
+        second = _mixed(ordered * seed[1])
+    alone = (place <= (n - least)[of]) & ((level == 0) | (least[of] < 2))
+    yield first[alone], of[alone], place[alone], np.zeros(int(alone.sum()), bool)
+    cold = np.bincount(of, weights=level == 0, minlength=len(n)).astype(np.int64)
+    reach = np.minimum(n, n - least + 2)
+    m = reach - cold  # frequent words that may lead a point
+    for size in np.unique(m[m > 1]):
+        every = np.flatnonzero(m == size)
+        for i, j in _leads(int(size)):
+            step = max(1, BLOCK // len(i))
+            for who in (every[k : k + step] for k in range(0, len(every), step)):
+                at = (off[who] + cold[who])[:, None]
+                x, y = at + i[None, :], at + j[None, :]
+                with np.errstate(over="ignore"):
+                    key = _mixed(first[x] + second[y])
+                yield key.reshape(-1), np.repeat(who, len(i)), (place[y] - 1).reshape(-1), (level[x] > frequent.common_from).reshape(-1)
 
 
 def _counted(batches):
@@ -145,100 +184,172 @@ def _counted(batches):
         yield out()
 
 
-def common_words(records: DataFrame, n: int, share: int = COMMON_SHARE) -> np.ndarray:
-    """The words that more than one record in ``share`` holds, by their number of records: at most ``share`` times the mean record size."""
-    got = records.select("words").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * share > n).toPandas()
-    return got.sort_values(["n", "word"])["word"].to_numpy(np.int64).view(np.uint64)
+def frequent_words(records: DataFrame, n: int, run: int = RUN) -> Frequent:
+    """The words that more than ``run`` records and more than one record in SHARE hold."""
+    most = max(run, n // SHARE)
+    got = records.select("words").mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > most).toPandas()
+    got = got.sort_values(["n", "word"])
+    return Frequent(got["word"].to_numpy(np.int64).view(np.uint64), int((got["n"] * COMMON <= n).sum()))
 
 
-def _balls(common: np.ndarray, t: float):
+def _balls(frequent: Frequent, t: float):
     def run(batches):
         seen: set[tuple] = set()
+        turn = 0
         for b in batches:
             if not b.num_rows:
                 continue
             h = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
             new = [i for i, x in enumerate(h) if x not in seen and not seen.add(x)]  # copies in a task emit once
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
             if not new:
                 continue
             b = b.take(pa.array(new))
             flat, off = _flat(b.column(3))
-            key = record_keys(flat, off).view(np.int64)
+            rid = b.column(1).to_numpy()
+            b1, b2 = bitmaps(flat, off, frequent.level(flat) == 0)
             salt = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
-            for v, rows, lost in variants(flat, off, common, salt, t):
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(key[rows]), pa.array(lost.astype(np.int32))], names=["variant", "rid", "lost"])
+            for v, rows, lost, common in variants(flat, off, frequent, salt, t):
+                if not len(v):
+                    continue
+                turn += 1
+                spread = np.where(common, (np.arange(len(v)) + turn) % SALTS, -1).astype(np.int32)
+                two = b2[rows] | (np.minimum(lost, _TEN).astype(np.uint64) << np.uint64(_MAP2 + 10))
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(rid[rows]), pa.array(b1[rows].view(np.int64)), pa.array(two.view(np.int64)), pa.array(spread)], names=["variant", "rid", "b1", "b2", "salt"])
 
     return run
 
 
-def _meet(t: float):
-    """Pairs of the runs of equal variants in sorted rows; runs of more than RUN records come out as rows for a join."""
+_MET = "a long, b long, variant long, b1 long, b2 long"
+
+
+def _tile(r: np.ndarray, b1: np.ndarray, b2: np.ndarray, t: float, height: int = 128):
+    """The possible pairs of one run, by tiles of rows against the rest."""
+    low, n, lost = _parts(b2)
+    share = t / (1 + t)
+    near = (lost <= (1 - t) / (1 + t) * n + 1e-9) | (n >= _TEN)
+    by = np.argsort(~near, kind="stable")  # pairs need a near side
+    r, b1, low, n, lost = r[by], b1[by], low[by], n[by], lost[by]
+    need = np.where(n >= _TEN, -1000.0, share * n).astype(np.float32)
+    room = (n - np.bitwise_count(b1) - np.bitwise_count(low)).astype(np.float32)
+    held = (n - lost).astype(np.float32)
+    for k in range(0, int(near.sum()), height):
+        e = min(k + height, int(near.sum()))
+        c = np.bitwise_count(b1[k:e, None] & b1[None, k:]) + np.bitwise_count(low[k:e, None] & low[None, k:])
+        want = need[k:e, None] + (need[None, k:] - 1e-4)
+        x, y = np.nonzero(c >= want - np.minimum(room[k:e, None], room[None, k:]))
+        x, y = x + k, y + k
+        keep = (x < y) & (np.minimum(held[x], held[y]) >= need[x] + need[y] - 1e-4)
+        yield r[x[keep]], r[y[keep]]
+
 
-    def pairs(v: np.ndarray, r: np.ndarray, lost: np.ndarray):
+def _meet(t: float, run: int = RUN):
+    """Pairs of the runs of equal variants in sorted rows; longer runs, and salted rows, come out as rows for a join."""
+
+    def out(a, b, v, r, b1, b2):
+        if len(a):
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        z = np.zeros(len(a), np.int64)
+        cols = [np.concatenate([a, r]), np.concatenate([b, np.zeros(len(r), np.int64)]), np.concatenate([z, v]), np.concatenate([z, b1]), np.concatenate([z, b2])]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in cols], names=["a", "b", "variant", "b1", "b2"])
+
+    def pairs(v, r, b1, b2):
+        new = np.concatenate([[True], (v[1:] != v[:-1]) | (r[1:] != r[:-1])])  # copies from several tasks
+        v, r, b1, b2 = v[new], r[new], b1[new].view(np.uint64), b2[new].view(np.uint64)
         start = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         n = np.diff(np.concatenate([start, [len(v)]]))
-        a, b, hot = [], [], []
-        for size in np.unique(n[n > 1]):
+        a, b, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for size in range(2, 17):
             s = start[n == size]
-            if size > RUN:
-                hot += [np.arange(x, x + size) for x in s]
-                continue
-            for d in range(1, size):
+            for d in range(1, size if len(s) else 1):
                 x = (s[:, None] + np.arange(size - d)[None, :]).reshape(-1)
-                p, q = r[x], r[x + d]
-                ok = (p != q) & possible(p, q, t, lost[x], lost[x + d])
-                a.append(p[ok])
-                b.append(q[ok])
-        none = np.zeros(0, np.uint64)
-        a, b = np.concatenate(a or [none]), np.concatenate(b or [none])
-        if len(a):
-            a, b = np.unique(np.stack([np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))]), axis=1)
-        a, b = a.view(np.int64), b.view(np.int64)
+                ok = possible((b1[x], b2[x]), (b1[x + d], b2[x + d]), t)
+                a.append(r[x[ok]])
+                b.append(r[x[ok] + d])
+        for s, size in zip(start[n > 16].tolist(), n[n > 16].tolist()):
+            if size > run:
+                hot.append(np.arange(s, s + size))
+                continue
+            for x, y in _tile(r[s : s + size], b1[s : s + size], b2[s : s + size], t):
+                a.append(x)
+                b.append(y)
         h = np.concatenate(hot) if hot else np.zeros(0, np.int64)
-        cols = [np.concatenate([a, r[h].view(np.int64)]), np.concatenate([b, np.zeros(len(h), np.int64)]), np.concatenate([np.zeros(len(a), np.int64), v[h]]), np.concatenate([np.zeros(len(a), bool), np.ones(len(h), bool)])]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "variant", "hot"])
-
-    def run(batches):
-        v, r, lost = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            if not b.num_rows:
+        return out(np.concatenate(a), np.concatenate(b), v[h], r[h], b1[h].view(np.int64), b2[h].view(np.int64))
+
+    def go(batches):
+        none = np.zeros(0, np.int64)
+        held = [none, none, none, none]
+        batches = iter(batches)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            v = np.concatenate([v, b.column(0).to_numpy()])
-            r = np.concatenate([r, b.column(1).to_numpy().view(np.uint64)])
-            lost = np.concatenate([lost, b.column(2).to_numpy()])
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            salted = batch.column(4).to_numpy() >= 0
+            if salted.any():
+                yield out(none, none, *(c[salted] for c in cols))
+                cols = [c[~salted] for c in cols]
+            held = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            v = held[0]
             if len(v) < 200_000:
                 continue
             cut = int(np.searchsorted(v, v[-1]))  # the last run may go on
-            if len(v) - cut > 4 * RUN:
-                # a hot run: its first part goes out as rows; what stays is still long enough to be found hot
-                if cut:
-                    yield pairs(v[:cut], r[:cut], lost[:cut])
-                stay = len(v) - 2 * RUN
-                yield pairs(v[cut:stay], r[cut:stay], lost[cut:stay])
-                v, r, lost = v[stay:], r[stay:], lost[stay:]
-                continue
             if cut:
-                yield pairs(v[:cut], r[:cut], lost[:cut])
-                v, r, lost = v[cut:], r[cut:], lost[cut:]
-        if len(v):
-            yield pairs(v, r, lost)
-
-    return run
+                yield pairs(*(h[:cut] for h in held))
+            held = [h[cut:] for h in held]
+            if len(held[0]) > 100_000:
+                # a hot run comes out as rows
+                v, r, b1, b2 = held
+                yield out(none, none, v, r, b1, b2)
+                last = v[-1]
+                held = [none, none, none, none]
+                yield from drain(batches, last, held)
+        if len(held[0]):
+            yield pairs(*held)
+
+    def drain(batches, last, held):
+        """The rest of a hot run as rows, up to the batch in which it ends."""
+        none = np.zeros(0, np.int64)
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            salted = batch.column(4).to_numpy() >= 0
+            mine = (cols[0] == last) | salted
+            if mine.any():
+                yield out(none, none, *(c[mine] for c in cols))
+            if not mine.all():
+                held[:] = [c[~mine] for c in cols]
+                return
+
+    return go
+
+
+def _near_and_all(hot: DataFrame, t: float) -> DataFrame:
+    """The possible pairs of the hot runs: near sides with all, under the bounds of ``possible``."""
+    low = (1 << _MAP2) - 1
 
-
-def candidates(records: DataFrame, t: float) -> DataFrame:
-    """Distinct (a, b), a < b: record keys that may be similar."""
-    common = common_words(records, records.count())
-    v = records.select("table_code", "h1", "h2", "words").mapInArrow(_balls(common, t), "variant long, rid long, lost int")
-    met = v.repartition("variant").sortWithinPartitions("variant", "rid").mapInArrow(_meet(t), "a long, b long, variant long, hot boolean")
-    keep = Scratch(records.sparkSession)
-    met = keep.save(met)
-    cold = met.where("not hot").select("a", "b")
-    hot = met.where("hot").select("variant", F.col("a").alias("x")).distinct()
-    crossed = hot.join(hot.withColumnRenamed("x", "y"), "variant").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return cold.unionByName(crossed).distinct()
+    def side(s: str) -> DataFrame:
+        n = F.shiftrightunsigned("b2", _MAP2).bitwiseAND(F.lit(_TEN))
+        lost = F.shiftrightunsigned("b2", _MAP2 + 10)
+        bits = F.bit_count("b1") + F.bit_count(F.col("b2").bitwiseAND(F.lit(low)))
+        return hot.select("variant", F.col("a").alias(s), F.col("b1").alias(s + "1"), F.col("b2").bitwiseAND(F.lit(low)).alias(s + "2"), n.alias(s + "n"), lost.alias(s + "l"), (n - bits).alias(s + "room"))
+
+    x, y = side("x"), side("y")
+    x = x.where((F.col("xl") <= (1 - t) / (1 + t) * F.col("xn") + 1e-9) | (F.col("xn") >= _TEN))
+    both: Column = F.bit_count(F.col("x1").bitwiseAND(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseAND(F.col("y2")))
+    need = t / (1 + t) * (F.col("xn") + F.col("yn")) - 1e-6
+    fits = (both + F.least("xroom", "yroom") >= need) & (F.least(F.col("xn") - F.col("xl"), F.col("yn") - F.col("yl")) >= need)
+    fits = fits | (F.col("xn") >= _TEN) | (F.col("yn") >= _TEN)
+    return x.join(y, (x["variant"] == y["variant"]) & (F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def candidates(records: DataFrame, t: float, run: int = RUN) -> DataFrame:
+    """Distinct (a, b), a < b: hashes of records that may be similar."""
+    frequent = frequent_words(records, records.count(), run)
+    v = records.select("table_code", "h1", "h2", "words").mapInArrow(_balls(frequent, t), "variant long, rid long, b1 long, b2 long, salt int")
+    met = v.repartition("variant", "salt").sortWithinPartitions("variant", "rid").mapInArrow(_meet(t, run), _MET)
+    met = Scratch(records.sparkSession).save(met)
+    hot = met.where("variant <> 0").select("a", "variant", "b1", "b2").distinct()
+    return met.where("variant = 0").select("a", "b").unionByName(_near_and_all(hot, t)).distinct()
 
 
 def records_of(df: DataFrame, code: int, id_col: str, cols: list[str], least: int) -> DataFrame:
@@ -246,14 +357,7 @@ def records_of(df: DataFrame, code: int, id_col: str, cols: list[str], least: in
     return w.where(F.size("words") >= least).select(F.lit(code).cast("long").alias("table_code"), "id", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), "words")
 
 
-def _keyed(batches):
-    for b in batches:
-        if b.num_rows:
-            key = record_keys(*_flat(b.column(4))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], names=[*b.schema.names, "rid"])
-
-
-def similar(tables: dict[str, tuple[DataFrame, str, list[str]]], t: float = 0.7, least: int = 20) -> tuple[DataFrame, DataFrame]:
+def similar(tables: dict[str, tuple[DataFrame, str, list[str]]], t: float = 0.7, least: int = 20, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """For tables {name: (rows, id column, text columns)}: the verified pairs of classes
     (rec_table, a_h1, a_h2, b_h1, b_h2), and the members (rec_table, id, h1, h2) of the classes."""
     spark = next(iter(tables.values()))[0].sparkSession
@@ -264,22 +368,20 @@ def similar(tables: dict[str, tuple[DataFrame, str, list[str]]], t: float = 0.7,
         df, id_col, cols = tables[name]
         x = records_of(df, code, id_col, cols, least)
         all_of = x if all_of is None else all_of.unionByName(x)
-    rec = keep.save(all_of.mapInArrow(_keyed, "table_code long, id string, h1 long, h2 long, words array<long>, rid long"))
-    cand = candidates(rec, t)
-    shared = rec.groupBy("rid").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select(F.col("rid").alias("a"), F.col("rid").alias("b"))
-    cand = keep.save(cand.unionByName(shared).distinct())
-    wanted = cand.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    small = cand.count() <= BROADCAST_KEYS
-    sets = rec.select("table_code", "h1", "h2", "words", "rid").join(F.broadcast(wanted) if small else wanted, "rid", "left_semi").dropDuplicates(["table_code", "h1", "h2"])
+    rec = keep.save(all_of)
+    cand = keep.save(candidates(rec, t, run))
+    wanted = cand.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    small = 2 * 16 * cand.count() <= BROADCAST_BYTES
+    sets = rec.select("table_code", "h1", "h2", "words").join(F.broadcast(wanted) if small else wanted, "h1", "left_semi").dropDuplicates(["table_code", "h1", "h2"])
 
     def side(s: str) -> DataFrame:
-        return sets.select(F.col("rid").alias(s), F.col("table_code").alias(s + "_t"), F.col("h1").alias(s + "_h1"), F.col("h2").alias(s + "_h2"), F.col("words").alias(s + "_w"))
+        return sets.select(F.col("h1").alias(s), F.col("table_code").alias(s + "_t"), F.col("h2").alias(s + "_h2"), F.col("words").alias(s + "_w"))
 
-    both = cand.join(side("a"), "a").join(side("b"), "b").where("a_t = b_t and (a < b or a_h1 < b_h1)")
+    both = cand.join(side("a"), "a").join(side("b"), "b").where("a_t = b_t")
     inter = F.size(F.array_intersect("a_w", "b_w"))
     ok = both.withColumn("i", inter).where(F.col("i") >= t * (F.size("a_w") + F.size("b_w") - F.col("i")) - 1e-9)
     name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("a_t") + 1).cast("int"))
-    pairs = keep.save(ok.select(name.alias("rec_table"), "a_h1", "a_h2", "b_h1", "b_h2"))
+    pairs = keep.save(ok.select(name.alias("rec_table"), F.col("a").alias("a_h1"), "a_h2", F.col("b").alias("b_h1"), "b_h2"))
     own = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("table_code") + 1).cast("int"))
     return pairs, rec.select(own.alias("rec_table"), "id", "h1", "h2")
 
