@@ -14,7 +14,7 @@ of similarity t shares a variant, whichever words its edits fall on, and nothing
 (but for equal 64-bit hashes of words, which count as one word).
 
 Records meet by shuffling on the variants. Within a run of equal variants exact bounds drop
-pairs that can't be similar: a bitmap of the cold words, the number of words, and how many
+pairs that can't be similar: a bitmap of the words, their number, and how many
 words come before the variant, all of which the other side lacks if this is where the two
 meet. So in every possible pair one side is near: it has lost at most (1-t)/(1+t) of its
 words. Runs of more than RUN records, and variants whose both words are common, are joined
@@ -91,13 +91,13 @@ class Frequent:
         return np.where(self.sorted[at] == flat, self.by[at] + 1, 0)
 
 
-def bitmaps(flat: np.ndarray, off: np.ndarray, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per record, 64 and 44 bits that its cold words set; above the latter its number of words, at most 1,023."""
+def bitmaps(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per record, 64 and 44 bits that its words set; above the latter its number of words, at most 1,023."""
     n = np.diff(off)
     bit = (flat >> np.uint64(7)) % np.uint64(64 + _MAP2)
     maps = []
     for lo, size in ((0, 64), (64, _MAP2)):
-        mine = cold & (bit >= lo) & (bit < lo + size)
+        mine = (bit >= lo) & (bit < lo + size)
         x = np.where(mine, _ONE << np.where(mine, bit - np.uint64(lo), 0).astype(np.uint64), np.uint64(0))
         out = np.zeros(len(n), np.uint64)
         if len(flat):
@@ -208,7 +208,7 @@ def _balls(frequent: Frequent, t: float):
             b = b.take(pa.array(new))
             flat, off = _flat(b.column(3))
             rid = b.column(1).to_numpy()
-            b1, b2 = bitmaps(flat, off, frequent.level(flat) == 0)
+            b1, b2 = bitmaps(flat, off)
             salt = b.column(0).to_numpy().astype(np.int64).view(np.uint64)
             for v, rows, lost, common in variants(flat, off, frequent, salt, t):
                 if not len(v):

@@ -329,7 +329,7 @@ def test_bound_never_drops_a_true_pair():
         b = np.concatenate([a[keep], rng.integers(1, 2**62, rng.integers(0, 8)).astype(np.uint64)])
         j = keep.sum() / (len(a) + len(b) - keep.sum())
         flat = np.concatenate([a, b])
-        b1, b2 = near.bitmaps(flat, np.array([0, len(a), len(flat)]), rng.random(len(flat)) < 2)
+        b1, b2 = near.bitmaps(flat, np.array([0, len(a), len(flat)]))
         if j >= 0.7:
             assert near.possible((b1[:1], b2[:1]), (b1[1:], b2[1:]), 0.7)[0]
             x, y = zip(*near._tile(np.arange(2), b1, b2, 0.7))
