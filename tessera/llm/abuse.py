@@ -1,10 +1,11 @@
 """Abusive, hateful or sexual content.
 
-A bidirectional gated recurrent network with attention pooling reads every overlapping
-window of WINDOW words (step STEP) of a text; a word comes in as a hashed embedding of
-itself and the mean of those of its character trigrams, after disguises (spaced or dotted
+A bidirectional gated recurrent network with attention pooling reads every window of WINDOW
+words of a text, one from each word on; a word comes in as the embedding of
+itself, if training knew it, and the mean of those of its character trigrams, after disguises (spaced or dotted
 letters, digits and signs for letters) are undone. A text's score is the highest of its
-windows. The weights are trained by ``abuse_train`` in numpy and lie beside this module.
+windows. The weights are trained by ``abuse_train`` in numpy and lie beside this module,
+with the threshold that the training documents gave.
 
 Defined results: null, empty and blank texts score 0; texts of any length are read whole;
 rows that repeat score alike; a null source is reported as a source of its own.
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, STEP = 16, 4
-BUCKETS, DIM, HIDDEN = 8192, 24, 24
-THRESHOLD = 0.85  # chosen on the documents of sf0.1 and of other rows: almost all abusive passages lie above 0.95
+WINDOW = 10
+BUCKETS, DIM, HIDDEN = 16_384, 24, 16
+#: Windows that are scored at once.
+AT_ONCE = 4096
 WEIGHTS = os.path.join(os.path.dirname(__file__), "abuse_weights.npz")
 #: Distinct words that a task keeps projected at once: 0.6 KB each.
 HELD = 40_000
@@ -73,32 +75,54 @@ def tokens(text: str) -> list[str]:
 def _hashed(word: str) -> tuple[int, tuple[int, ...]]:
     b = f"<{word}>"
     grams = [b[i : i + 3] for i in range(len(b) - 2)] or [b]
-    return zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS, tuple(zlib.crc32(("#" + g).encode("utf-8", "replace")) % BUCKETS for g in grams)
+    return zlib.crc32(word.encode("utf-8", "replace")), tuple(zlib.crc32(("#" + g).encode("utf-8", "replace")) % BUCKETS for g in grams)
 
 
 _held = lru_cache(maxsize=200_000)(_hashed)
 
 
 def hashed(word: str) -> tuple[int, tuple[int, ...]]:
-    """The bucket of a word and those of all its character trigrams; long words aren't held."""
+    """The hash of a word and the buckets of all its character trigrams; long words aren't held."""
     return _held(word) if len(word) <= 24 else _hashed(word)
 
 
+def places(hashes: list[int], owner: np.ndarray) -> np.ndarray:
+    """The rows of words in the table of words: their buckets where they own them, else the last row, which stands for unknown words."""
+    h = np.array(hashes, np.int64)
+    return np.where(owner[h % BUCKETS] == h, h % BUCKETS, BUCKETS)
+
+
 def windows(n: int) -> np.ndarray:
-    """The starts of the windows over n words; the last one ends with the text."""
-    if n <= WINDOW:
-        return np.zeros(1 if n else 0, np.int64)
-    s = np.arange(0, n - WINDOW, STEP)
-    return np.append(s, n - WINDOW)
+    """The starts of the windows over n words: every word from which a whole window follows, or the first of a shorter text."""
+    return np.arange(max(1, n - WINDOW + 1) if n else 0)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def gate(x: np.ndarray) -> np.ndarray:
+    """The logistic curve by straight lines; what it reads is scaled beforehand."""
+    return np.clip(x, 0, 1, out=x)
+
+
+def soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place."""
+    x /= np.abs(x) + 1
+    return x
 
 
 class Network:
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = {k: np.asarray(v, np.float32) for k, v in p.items()}
+        self.p = {k: np.asarray(v, np.float32) for k, v in p.items() if k != "owner"}
+        self.owner = np.asarray(p["owner"], np.int64)
+        self.threshold = float(self.p.get("threshold", 0.5))
+        # gates are clip(x / 4 + 1 / 2): scaled here once
+        self.x = np.concatenate([self.p["fx"], self.p["bx"]], axis=1)
+        self.b = np.concatenate([self.p["fb"], self.p["bb"]])
+        self.h = {}
+        for i, s in enumerate("fb"):
+            w, k = self.p[s + "h"].copy(), 3 * i * HIDDEN
+            w[:, : 2 * HIDDEN] /= 4
+            self.x[:, k : k + 2 * HIDDEN] /= 4
+            self.b[k : k + 2 * HIDDEN] = self.b[k : k + 2 * HIDDEN] / 4 + 0.5
+            self.h[s] = np.ascontiguousarray(w)
 
     @classmethod
     def load(cls, path: str = WEIGHTS) -> Network:
@@ -118,82 +142,108 @@ class Network:
             mean.append(np.add.reduceat(grams, at[a:b] - at[a], axis=0) / np.diff(at[a : b + 1])[:, None])
             a = b
         mean = np.concatenate(mean)
-        return np.concatenate([self.p["word"][[w for w, _ in h]], mean], axis=1)
+        return np.concatenate([self.p["word"][places([w for w, _ in h], self.owner)], mean], axis=1)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """What both directions add for an input: 2 times 3 gates."""
-        return np.concatenate([x @ self.p["fx"] + self.p["fb"], x @ self.p["bx"] + self.p["bb"]], axis=1)
-
-    def _run(self, gx: np.ndarray, mask: np.ndarray, side: str) -> np.ndarray:
-        n, steps = mask.shape
-        wh, bn = self.p[side + "h"], self.p[side + "n"]
-        h = np.zeros((n, HIDDEN), np.float32)
-        out = np.empty((n, steps, HIDDEN), np.float32)
+        return x @ self.x + self.b
+
+    def _run(self, projected: np.ndarray, idx: np.ndarray, mask: np.ndarray | None, side: str) -> np.ndarray:
+        """What attention and output read of the states of one direction: (places, windows, 2)."""
+        steps, n = idx.shape
+        wh, bn = self.h[side], self.p[side + "n"]
+        k = 0 if side == "f" else HIDDEN
+        heads = np.stack([self.p["u"][k : k + HIDDEN], self.p["o"][k : k + HIDDEN]], axis=1)
+        h, d = np.zeros((n, HIDDEN), np.float32), 2 * HIDDEN
+        out = np.empty((steps, n, 2), np.float32)
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+            g = projected[idx[t]]
             gh = h @ wh
-            g = gx[:, t]
-            rz = _sigmoid(g[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
-            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-            c = np.tanh(g[:, 2 * HIDDEN :] + r * (gh[:, 2 * HIDDEN :] + bn))
-            m = mask[:, t : t + 1]
-            h = h + m * (1 - z) * (c - h)
-            out[:, t] = h
+            rz = g[:, :d]
+            rz += gh[:, :d]
+            gate(rz)
+            c = gh[:, d:]
+            c += bn
+            c *= rz[:, :HIDDEN]
+            c += g[:, d:]
+            soft(c)
+            c -= h
+            c *= rz[:, HIDDEN:]
+            if mask is not None:
+                c *= mask[t][:, None]
+            h += c
+            np.matmul(h, heads, out=out[t])
         return out
 
-    def scores(self, projected: np.ndarray, idx: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Probabilities of windows given as rows of indices into projected words."""
-        out = np.empty(len(idx), np.float32)
-        for a in range(0, len(idx), 2048):
-            i, m = idx[a : a + 2048], mask[a : a + 2048]
-            gx = projected[i]
-            h = np.concatenate([self._run(gx[:, :, : 3 * HIDDEN], m, "f"), self._run(gx[:, :, 3 * HIDDEN :], m, "b")], axis=2)
-            e = h @ self.p["u"] + (m - 1) * 1e9
-            w = np.exp(e - e.max(axis=1, keepdims=True))
-            w /= w.sum(axis=1, keepdims=True)
-            pooled = (h * w[:, :, None]).sum(axis=1)
-            out[a : a + 2048] = _sigmoid(pooled @ self.p["o"] + self.p["ob"])
+    def scores(self, projected: tuple[np.ndarray, np.ndarray], idx: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+        """Probabilities of windows given as columns of indices into projected words (forward and backward); mask: 0 where a window is over."""
+        out = np.empty(idx.shape[1], np.float32)
+        for a in range(0, len(out), AT_ONCE):
+            i, m = idx[:, a : a + AT_ONCE], None if mask is None else mask[:, a : a + AT_ONCE]
+            x = self._run(projected[0], i, m, "f") + self._run(projected[1], i, m, "b")
+            e = x[:, :, 0] if m is None else x[:, :, 0] + (m - 1) * 1e9
+            w = np.exp(e - e.max(axis=0))
+            out[a : a + AT_ONCE] = _sigmoid((w * x[:, :, 1]).sum(axis=0) / w.sum(axis=0) + self.p["ob"])
         return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (np.tanh(0.5 * x) + 1)
+
+
 class Scorer:
     """Scores texts in a task; keeps projected words."""
 
     def __init__(self, network: Network | None = None):
         self.net = network or Network.load()
-        self._reset()
-
-    def _reset(self) -> None:
+        self.rows = (np.empty((HELD, 3 * HIDDEN), np.float32), np.empty((HELD, 3 * HIDDEN), np.float32))
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, 6 * HIDDEN), np.float32)
+
+    def _keep(self, new: list[str]) -> None:
+        if len(self.at) + len(new) > HELD:
+            self.at = {}
+        if len(new) > len(self.rows[0]):  # one text of very many distinct words
+            self.rows = tuple(np.empty((len(new), 3 * HIDDEN), np.float32) for _ in range(2))
+        for k in range(0, len(new), 4096):
+            words = new[k : k + 4096]
+            x, n = self.net.project(self.net.embed(words)), len(self.at)
+            for half in (0, 1):
+                self.rows[half][n : n + len(words)] = x[:, half * 3 * HIDDEN : (half + 1) * 3 * HIDDEN]
+            self.at.update((w, n + i) for i, w in enumerate(words))
 
     def windows_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(score of every window, number of the text it belongs to)."""
         toks = [tokens(t) if t else [] for t in texts]
-        new = {w for t in toks for w in t if w not in self.at}
-        if len(self.at) + len(new) > HELD and self.at:
-            self._reset()
-            new = {w for t in toks for w in t}
+        words = {w for t in toks for w in t}
+        new = words.difference(self.at)
+        if len(self.at) + len(new) > HELD:
+            self.at, new = {}, words
         if new:
-            words = sorted(new)
-            self.at.update((w, len(self.rows) + i) for i, w in enumerate(words))
-            self.rows = np.concatenate([self.rows, *(self.net.project(self.net.embed(words[k : k + 4096])).astype(np.float32) for k in range(0, len(words), 4096))])
-        starts = [windows(len(t)) for t in toks]
+            self._keep(sorted(new))
+        n = np.array([len(t) for t in toks], np.int64)
+        starts = [windows(x) for x in n.tolist()]
         of = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
+        out = np.zeros(len(of), np.float32)
         if not len(of):
-            return np.zeros(0, np.float32), of
-        flat = np.array([self.at[w] for t in toks for w in t], np.int64)
-        n = np.array([len(t) for t in toks])
-        base = np.concatenate([[0], np.cumsum(n)[:-1]])
-        pos = np.concatenate(starts)[:, None] + np.arange(WINDOW)
-        mask = pos < n[of][:, None]
-        idx = flat[np.where(mask, base[of][:, None] + pos, base[of][:, None])]
-        return self.net.scores(self.rows, idx, mask.astype(np.float32)), of
+            return out, of
+        at = self.at
+        flat = np.array([at[w] for t in toks for w in t] + [0] * WINDOW, np.int32)
+        base = np.concatenate([[0], np.cumsum(n)[:-1]])[of] + np.concatenate(starts)
+        whole = n[of] >= WINDOW
+        for part, short in ((np.flatnonzero(whole), False), (np.flatnonzero(~whole), True)):
+            for k in range(0, len(part), 16 * AT_ONCE):
+                p = part[k : k + 16 * AT_ONCE]
+                idx = flat[base[p][None, :] + np.arange(WINDOW)[:, None]]
+                mask = (np.arange(WINDOW)[:, None] < n[of[p]][None, :]).astype(np.float32) if short else None
+                out[p] = self.net.scores(self.rows, idx, mask)
+        return out, of
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        s, of = self.windows_of(texts)
-        out = np.zeros(len(texts), np.float32)
-        np.maximum.at(out, of, s)
-        return out
+        distinct = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+        s, of = self.windows_of(list(distinct))
+        best = np.zeros(len(distinct), np.float32)
+        np.maximum.at(best, of, s)
+        return best[[distinct[t] for t in texts]]
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), weights: str | None = None) -> DataFrame:
@@ -213,7 +263,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra:
     return df.select(id_col, *extra, text_col).mapInArrow(run, schema)
 
 
-def rates(scored: DataFrame, source_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+def threshold(weights: str | None = None) -> float:
+    """From what score on a text counts, as the training documents gave it."""
+    return Network.load(weights or WEIGHTS).threshold
+
+
+def rates(scored: DataFrame, source_col: str = "source", at: float | None = None) -> DataFrame:
     """(source, n_docs, n_flagged, rate) per source."""
-    bad = F.sum((F.col("score") >= threshold).cast("long"))
+    bad = F.sum((F.col("score") >= (threshold() if at is None else at)).cast("long"))
     return scored.groupBy(source_col).agg(F.count(F.lit(1)).alias("n_docs"), bad.alias("n_flagged"), (bad / F.count(F.lit(1))).alias("rate"))

@@ -139,7 +139,7 @@ def p6_masked_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p10_found")
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return abuse.score(table(spark, sf, "documents")).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+    return abuse.score(table(spark, sf, "documents")).where(F.col("score") >= abuse.threshold()).select("doc_id")
 
 
 @query("p10_scores")
