@@ -104,6 +104,7 @@ PHONE = re.compile(
             rf"{_B}07\d{{3}}[ -]?\d{{3}}[ -]?\d{{3}}{_E}",
             rf"{_B}0[1-9](?:[ .]\d\d){{4}}{_E}",
             rf"{_B}0\d{{2,4}}[ /-]\d{{5,8}}{_E}",
+            rf"{_B}0\d{{2,4}}([ -])\d{{3,4}}\2\d{{4}}{_E}",
             rf"{_B}[6-9]\d\d[ ]\d{{3}}[ ]\d{{3}}{_E}",
             rf"{_B}1[2-9]\d\d[2-9]\d{{6}}{_E}",
         ]
@@ -111,7 +112,9 @@ PHONE = re.compile(
 )
 #: Runs of digits and what divides them; phone numbers are looked for only there.
 _RUN = re.compile(r"\d[\d .()/+-]{5,}\d")
-_PHONE_WORDS = re.compile(r"(?i)\b(?:t[eé]l(?:[eé]?fon[eo]?|ephone)?|phone|mobile?|msisdn|cell|call|dial|sms|fax|rückruf|ruf|anruf\w*|handy|numéro|número|llam\w+|whatsapp|contact)\b")
+_PHONE_WORDS = re.compile(r"(?i)\b(?:t[eé]l(?:[eé]?fon[eo]?|ephone)?|phone\w*|mobile?|móvil|portable|cell(?:phone|ular)?|call\w*|dial\w*|ring|text(?:ed)?|sms|fax|msisdn|nummer|number|(?:rück|an)?ruf\w*|handy|numéro|número|appel\w*|joindre|ll[aá]m\w+|marc\w+|whatsapp|contact\w*|reach\w*|erreichbar)\b")
+#: Verbs that follow a number in German word order.
+_PHONE_AFTER = re.compile(r"(?i)\W{1,3}(?:\w+\s)?(?:(?:an|zurück)?(?:zu)?rufen|wählen|erreichbar)\b")
 
 
 def _phones(t: str) -> Iterable[tuple[int, int, float]]:
@@ -124,7 +127,7 @@ def _phones(t: str) -> Iterable[tuple[int, int, float]]:
             score -= 0.3
         if re.fullmatch(r"[6-9]\d\d \d{3} \d{3}", s):
             score -= 0.3
-        if _PHONE_WORDS.search(t[max(0, m.start() - 32) : m.start()]) or re.match(r"(?i)\W{1,3}(?:bounced|anrufen)", t[m.end() : m.end() + 12]):
+        if _PHONE_WORDS.search(t[max(0, m.start() - 32) : m.start()]) or _PHONE_AFTER.match(t, m.end(), m.end() + 32):
             score += 0.3
         elif bare and _cell(t, m.start(), m.end()):
             score += 0.3
@@ -235,7 +238,8 @@ ADDRESS = [
     re.compile(rf"(?<![\w/])(?:Am|An\sder|An\sden|Auf\sder|Auf\sdem|Im|In\sder|Zum|Zur|Unter\sden|Hinter\sder|Hinter\sdem|Beim)\s{_W}(?:\s{_W})?\s{_NO}(?![\w/]|[.:]\d){_TAIL}"),
     re.compile(rf"(?i:(?<![\w/])(?:rue|boulevard|impasse|chemin)\s(?:de\s|du\s|des\s|d['’]|la\s|le\s|les\s)*){_W}(?:[\s-]{_W})*,\s(?:n°\s?)?\d{{1,4}}(?![\w/])"),
 ]
-_ADDRESS_WORDS = re.compile(r"(?i)(?:addr\w*|adresse|dirección|direccion|street|line1|ship\w*(?:\sit)?(?:\sto)?|deliver\w*|livr\w+|envío|lieferung\w*|wohnt|wohnhaft|lives at|geocoder\sfails\sfor|prints|billing|domicilio|habite|vive en|nach|to|au|a|at|in)\W{0,4}$")
+#: Words before an address: field labels, verbs of living, sending and going, prepositions of place.
+_ADDRESS_WORDS = re.compile(r"(?i)(?:\b(?:addr\w*|adress\w*|anschrift|direcci[oó]n|domicilio|street|line ?\d|location|residence|billing|shipping|ship\w*|deliver\w*|sen[dt]\w*|mail(?:ed)?|post(?:ed)?|liefer\w*|versand|livr\w+|expédi\w+|env[ií]\w*|entreg\w*|li[vf]e[sd]?|living|resid\w+|moved|wohn\w*|habit\w+|demeur\w+|viv[eo]n?|reside\w*)(?:\s(?:it|them|is|ist|est|es))?(?:\s(?:to|at|in|on|nach|an|au|à|a|en))?|\b(?:to|at|in|for|near|nach|an|au|à|a|en|für|pour|para))\W{0,4}$")
 _NOT_STREET = re.compile(r"(?i)\b(?:main thread|upper bound|lower bound|line|port|build|step|page|version|chapter|slot|worker|node|thread)\b")
 
 
@@ -281,25 +285,34 @@ NAME = re.compile(
     rf"(?<![\w@./+\\-])(?:(?P<title>{_TITLE})\.?\s)?(?:(?P<first>{_W}|[{_UP}]\.)(?:\s(?P<mid>[{_UP}]\.)){{0,2}}\s(?:{_PART})(?P<last>{_W})|(?P<fam>{_W}),\s(?P<giv>{_W}|[{_UP}]\.)(?:\s[{_UP}]\.)?)(?![\w@/\\]|[-.]\w)"
 )
 _LOWER = rf"(?<![\w@./+\\-])(?:(?P<g>%s)(?:\s[a-z]\.)?\s(?P<l>[{_LOW}]{{3,}})|(?P<l2>[{_LOW}]{{3,}}),\s(?P<g2>%s))(?![\w@/\\]|[-.]\w)"
-_NAME_BEFORE = re.compile(
-    r"(?i)(?:\bby|\bask|\bcustomer|\bclient|\bkund(?:e|in|en)|\bcliente|\blaut|\bsegún|\bselon|\bd['’]après|\bbelongs to|\bgehört(?: zu)?|\bassignee:?|_name\W{1,4}|name\W{1,4}|\buser\W{1,4}|\bmeeting with|\bmit|\bavec|\bcon|\bcontact:?|\bfrom:?|\bto:?|\bcc:?|\bauthor\w*:?|\bowner\w*:?|\breviewer:?|\bregards,?|\bdear|\bliebe[r]?|\bhallo|\bsigned|\bapplicant|\bpatient|\bemployee|\bmitarbeiter(?:in)?|\bsíncer\w*|\bmr|\bmrs|\bms|\bherr|\bfrau|\bq\W{1,4}|\bwith|\bfor|\bfür|\bpour|\bpara|\bde|\bvon|\bis)\s*[\"']?$"
-)
-_STRONG = re.compile(
-    r"(?i)(?:(?:reported|signed(?: off)?|opened|filed|raised|approved|written|requested|assigned|sent) by|\bask|\b(?:the|le|la|der|die|el|la)\s(?:customer|client|cliente|kunde|kundin)|\blaut|\bsegún|\bselon|\bbelongs to|\bgehört(?: zu)?|\bassignee:?|_name\W{1,4}|name\W{1,4}|\buser\W{1,4}|\bmeeting with|\bq\W{3,4})\s*[\"']?$"
-)
-_NAME_AFTER = re.compile(r"(?i)^\s*(?:before merging|says|said|a signalé|this morning|tritt|meldet|about the|dice|indica)")
-#: Words that look like parts of names at the head of a sentence or in technical terms. Fixed values.
+# Cues by class, in English, German, French and Spanish: who acts in a report, whom one talks to, roles of people, sources of a statement, owners, labels of fields.
+_DONE_BY = r"(?:report|sign|open|fil|rais|approv|request|assign|creat|author|review|submitt|fix|clos|confirm|suggest|not|prepar|book|order|complet|reject|updat|invit|call|refus)e?d(?:\s(?:off|up|on|in))?\sby|(?:written|sent|found|seen|made|given|done|paid|led|held)\sby|(?:gemeldet|erstellt|geschrieben|geprüft|unterschrieben|gesendet)\svon|(?:signalé|écrit|signé|envoyé|créé|ouvert|demandé)e?\spar|(?:firmad|escrit|enviad|cread|abiert|reportad|solicitad)[oa]\spor"
+_TALK_TO = r"(?:ask|tell|call|phone|email|mail|contact|message|thank|notify|remind|invite|meet|interview|greet|cc|dear|frag(?:e|t|en)?|ruf(?:e|t|en)?|lieber?|sehr geehrte[rs]?|demand(?:e|ez|er) à|appel(?:le|ez|er)|contact(?:e|ez|er)|cher|chère|pregunt(?:a|e|ar) a|llam(?:a|e|ar) a|estimad[oa]|querid[oa])|(?:meeting|call|appointment|interview|spoke|talk(?:ed)?|chat|lunch|met|treffen|termin|gespräch|rendez-vous|réunion|entretien|reunión|cita)\s(?:with|mit|avec|con)"
+_ROLES = r"(?:customer|client|user|employee|patient|applicant|tenant|buyer|guest|caller|colleague|manager|owner|author|reviewer|assignee|reporter|contact|signed|kund(?:e|in|en)|mitarbeiter(?:in)?|kolleg(?:e|in)|nutzer(?:in)?|antragsteller(?:in)?|patientin|mieter(?:in)?|cliente|client[e]?|collègue|utilisat(?:eur|rice)|employée?|locataire|usuari[oa]|emplead[oa]|compañer[oa]|inquilin[oa]|paciente)"
+_SOURCE = r"(?:according to|laut|gemäß|según|selon|d['’]après)"
+_OWNER = r"(?:belong(?:s|ed|ing)? to|owned by|on behalf of|gehör(?:t|te|en)(?: zu)?|im auftrag von|apparten\w+ à|appartient à|au nom de|perten\w+ a|a nombre de)"
+_LABEL = r"(?:[a-z_]*name|nom|nombre|user|customer|client|kunde|assignee|author|owner|reviewer|reporter|contact|from|to|cc|q|attn)"
+_NAME_BEFORE = re.compile(rf"(?i)(?:\b{_DONE_BY}|\b{_TALK_TO}|\b{_ROLES}:?|\b{_SOURCE}|\b{_OWNER}|\b{_LABEL}\W{{1,4}}|\b(?:by|from|to|with|for|of|is|mit|von|für|bei|avec|par|pour|de|con|por|para|regards,?|grüße,?|gruß,?|cordialement,?|saludos,?|síncer\w*|mr|mrs|ms|herr|frau))\s*[\"']?$")
+_STRONG = re.compile(rf"(?i)(?:\b{_DONE_BY}|\b{_TALK_TO}|\b(?:the|our|my|a|der|die|den|dem|unser\w*|le|la|notre|el|nuestr[oa])\s{_ROLES}|\b{_ROLES}:|\b{_SOURCE}|\b{_OWNER}|\b{_LABEL}(?:\W{{2,4}}|[=:]))\s*[\"']?$")
+#: What people do, after their names.
+_NAME_AFTER = re.compile(r"(?i)^,?\s*(?:says?|said|writes?|wrote|asks?|asked|reports?|reported|confirms?|confirmed|called|thinks?|wants?|lives?|works?|joined|signed|sagt|sagte|schreibt|schrieb|meldet|meldete|fragt|wohnt|arbeitet|möchte|(?:a|avait)\s(?:dit|écrit|signalé|demandé|confirmé)|dit|écrit|habite|travaille|dice|dijo|escribe|escribió|indica|informa|pregunta|vive|trabaja|ha\s(?:dicho|escrito|informado))\b")
+#: Words that are no names though capitals begin them: what begins sentences, salutations, the calendar, products.
 _NOT_NAMES = frozenset(
-    """thanks danke merci gracias hi hello hallo bonjour hola docker compose main thread upper lower bound class ping ask meeting
-    line build port order serial checksum move reading whoever evict see siehe voir the a an and or but if when why how what which
-    rollback decision entscheidung décision decisión please bitte github actions visual studio mac os windows linux java script
-    type error value key http get post put delete patch content json sql api url uuid null true false
-    january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
-    next first last new old open closed status context add fix use set create table primary integer default not select from where group by insert into
-    info warn warning debug trace fatal level row phone tel contact addr doc ssn dni nino personalausweis passport id mail note masking reply bounce
-    rückruf according laut según selon customer client cliente kunde kundin reported signed assignee display user name send ship envío livraison dial call
-    name null reference io timeout runtime exception index tax form applicant record geocoder login audit my our your his her its their this that these those
-    i we you he she it they es il el la le les der die das ein eine un une una son""".split()
+    """a an the this that these those and or but if when while where why how what which who whose as at by for from in into of off on to with without about after before since until our my your his her its their
+    i we you he she it they one all any some each every no not is are was were be been do does did has have had can could may might must shall should will would
+    der die das den dem des ein eine einen einem einer und oder aber wenn als wie was wer wo warum mit ohne von vor nach bei seit bis aus für durch gegen um zu zum zur im am an auf in ist sind war nicht kein keine ich du er sie es wir ihr
+    le la les un une des du de et ou mais si quand où qui que quoi avec sans pour par sur sous dans en au aux est sont pas je tu il elle on nous vous ils elles ce cette ces son sa ses
+    el los las una unos unas y o pero cuando donde quien con sin para por sobre bajo entre es son no yo tú él ella nosotros ustedes ellos este esta estos su sus se al del
+    thanks thank hello hi dear please regards cheers danke hallo bitte liebe lieber gruß merci bonjour salut cher chère gracias hola saludos estimado estimada
+    january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday today tomorrow yesterday
+    januar februar märz mai juni juli oktober dezember montag dienstag mittwoch donnerstag freitag samstag sonntag
+    janvier février mars avril juin juillet août septembre octobre novembre décembre lundi mardi mercredi jeudi vendredi samedi dimanche
+    enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre lunes martes miércoles jueves viernes sábado domingo
+    see use add set get put ask call ping tell send show open close check fix run move read write make take keep find update delete create siehe voir véase note
+    error warning info debug exception value type key index null true false line page step build version port order thread class upper lower main api url uuid json sql http
+    docker compose git github visual studio mac os windows linux java script python actions
+    customer client cliente kunde kundin user owner author assignee reviewer contact name phone tel mail email address passport id ssn dni nino personalausweis
+    reported signed according laut selon según reference""".split()
 )
 
 
@@ -324,6 +337,9 @@ def _names(t: str, given: frozenset[str], lower: re.Pattern | None) -> Iterable[
             continue
         known = first.lower() in given or first.split("-")[0].lower() in given
         turned = last.lower() in given or last.split("-")[0].lower() in given
+        if not known and turned and not m["fam"] and not m["title"] and re.match(rf"\s(?:{_PART})(?:{_W})(?![\w@])", t[m.end() :]):
+            at = m.start() + max(1, len(re.match(r"\S+", m.group()).group()))  # a given name with a family name follows
+            continue
         initial = first.endswith(".") and len(first) == 2
         before, after = t[max(0, m.start() - 30) : m.start()], t[m.end() : m.end() + 18]
         score = 0.45 if known else 0.25 if turned else 0.2
