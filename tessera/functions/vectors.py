@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,56 +36,92 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     return counts.join(means, key, "left")
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, min_score: float, q_id: str = "q_id", q_vec: str = "q_vec", i_id: str = "i_id", i_vec: str = "i_vec", exclude_self: bool = True, group: str | None = None) -> DataFrame:
-    """(q_id, i_id, score, rank): the k nearest items by exact cosine at or above min_score, ties by id.
-    With ``group`` (a column of both sides) only items of other groups count.
+#: Vectors of one block: two blocks and their products take about 50 MB at 256 dimensions.
+BLOCK = 2048
 
-    The item side is streamed against the query side in blocks of numpy matrices; the
-    queries go to all tasks, so they must be a stated, bounded set (checked by the caller
-    through ``limit`` or a filter). Each task keeps k per query, so little is shuffled."""
-    import numpy as np
 
-    more = [group] if group else []
-    rows = queries.select(q_id, q_vec, *more).where(F.col(q_vec).isNotNull()).limit(QUERY_BOUND + 1).toPandas()
-    if len(rows) > QUERY_BOUND:
-        raise ValueError(f"more than {QUERY_BOUND} query vectors; join in blocks")
-    ids = rows[q_id].to_numpy(object)
-    own = rows[group].to_numpy(object) if group else None
-    dim = max((len(v) for v in rows[q_vec]), default=0)
-    q = np.array([v if len(v) == dim else [0.0] * dim for v in rows[q_vec]], dtype=np.float64).reshape(-1, dim)
-    qn = np.linalg.norm(q, axis=1, keepdims=True)
-    q = np.divide(q, qn, out=np.zeros_like(q), where=qn > 0)
-    kq, ki = dict(queries.dtypes)[q_id], dict(items.dtypes)[i_id]
+def blocks(df: DataFrame, id_col: str, vector: str, group: str | None = None, size: int | None = None) -> DataFrame:
+    """Rows of up to ``size`` vectors of one length: d, ids and groups, and the vectors in a row, scaled to length 1 (those of length 0 stay so)."""
+    import pyarrow as pa
+
+    size, kind = size or BLOCK, dict(df.dtypes)
+    names = ["d", "ids", "v"] + (["groups"] if group else [])
 
     def run(batches):
-        best: list[pd.DataFrame] = []
-        for b in batches:
-            b = b[[v is not None and len(v) == dim for v in b[i_vec]]]
-            if not len(b) or not len(q):
-                continue
-            m = np.stack(b[i_vec].to_numpy()).astype(np.float64)
+        held: dict[int, list[tuple]] = {}
+
+        def out(d: int):
+            rows = held.pop(d)
+            m = np.array([r[1] for r in rows], np.float64)
             n = np.linalg.norm(m, axis=1, keepdims=True)
             m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-            s = q @ m.T
+            cols = [pa.array([d], pa.int32()), pa.array([[r[0] for r in rows]], pa.list_(kinds[0])), pa.array([m.reshape(-1)], pa.list_(pa.float64()))]
             if group:
-                s[own[:, None] == b[group].to_numpy(object)[None, :]] = -2.0
-            at = np.argwhere(s >= min_score)
-            out = pd.DataFrame({q_id: ids[at[:, 0]], i_id: b[i_id].to_numpy(object)[at[:, 1]], "score": s[at[:, 0], at[:, 1]]})
-            if exclude_self:
-                out = out[out[q_id] != out[i_id]]
-            best.append(out)
-            if sum(map(len, best)) > 200_000:
-                best = [pd.concat(best).sort_values(["score", i_id], ascending=[False, True]).groupby(q_id).head(k)]
-        if best:
-            yield pd.concat(best).sort_values(["score", i_id], ascending=[False, True]).groupby(q_id).head(k)
-
-    got = items.select(i_id, i_vec, *more).mapInPandas(run, f"`{q_id}` {kq}, `{i_id}` {ki}, score double")
-    rank = F.row_number().over(Window.partitionBy(q_id).orderBy(F.desc("score"), i_id))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-#: Query vectors that go to all tasks at most.
-QUERY_BOUND = 200_000
+                cols.append(pa.array([[r[2] for r in rows]], pa.list_(kinds[1])))
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        kinds: list = []
+        for b in batches:
+            kinds = [b.schema.field(0).type] + ([b.schema.field(2).type] if group else [])
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[1] is None or not len(row[1]) or any(x is None for x in row[1]):
+                    continue
+                held.setdefault(len(row[1]), []).append(row)
+                if len(held[len(row[1])]) >= size:
+                    yield out(len(row[1]))
+        for d in list(held):
+            yield out(d)
+
+    more = [group] if group else []
+    schema = f"d int, ids array<{kind[id_col]}>, v array<double>" + (f", groups array<{kind[group]}>" if group else "")
+    return df.select(id_col, vector, *more).mapInArrow(run, schema)
+
+
+def _pairs_of_blocks(queries: DataFrame, items: DataFrame, k: int, min_score: float, exclude_self: bool, group: bool, per_query: bool, kq: str, ki: str) -> DataFrame:
+    """(q_id, i_id, score) that may be among the k best, by query or in all, of every pair of blocks of equal length."""
+    import pyarrow as pa
+
+    q = queries.select(F.col("d").alias("qd"), F.col("ids").alias("q"), F.col("v").alias("qv"), *([F.col("groups").alias("qg")] if group else []))
+    i = items.select("d", "ids", "v", *(["groups"] if group else []))
+    j = i.crossJoin(q).where("d = qd")  # of blocks, not of rows
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                x, y = np.array(r["qv"]).reshape(-1, r["d"]), np.array(r["v"]).reshape(-1, r["d"])
+                s = x @ y.T
+                if group:
+                    s[np.array(r["qg"], object)[:, None] == np.array(r["groups"], object)[None, :]] = -2.0
+                if exclude_self:
+                    s[np.array(r["q"], object)[:, None] == np.array(r["ids"], object)[None, :]] = -2.0
+                at = np.argwhere(s >= min_score)
+                if not len(at):
+                    continue
+                f = pd.DataFrame({"a": at[:, 0], "b": [r["ids"][z] for z in at[:, 1]], "s": s[at[:, 0], at[:, 1]]}).sort_values(["s", "b"], ascending=[False, True])
+                f = f.groupby("a").head(k) if per_query else f.head(k)
+                yield pa.RecordBatch.from_arrays([pa.array([r["q"][z] for z in f["a"]], b.schema.field("q").type.value_type), pa.array(f["b"].tolist(), b.schema.field("ids").type.value_type), pa.array(f["s"].to_numpy())], names=["q_id", "i_id", "score"])
+
+    return j.mapInArrow(run, f"q_id {kq}, i_id {ki}, score double")
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, min_score: float, q_id: str = "q_id", q_vec: str = "q_vec", i_id: str = "i_id", i_vec: str = "i_vec", exclude_self: bool = True, group: str | None = None) -> DataFrame:
+    """(q_id, i_id, score, rank): the k nearest items by exact cosine at or above min_score, ties by id.
+    With ``group`` (a column of both sides) only items of other groups count; vectors of unequal lengths don't meet.
+
+    Both sides are packed into blocks, and blocks meet blocks, so neither the driver nor a
+    task ever holds more than two of them; each pair of blocks keeps k per query."""
+    kq, ki = dict(queries.dtypes)[q_id], dict(items.dtypes)[i_id]
+    got = _pairs_of_blocks(blocks(queries, q_id, q_vec, group), blocks(items, i_id, i_vec, group), k, min_score, exclude_self, group is not None, True, kq, ki)
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "i_id"))
+    out = got.withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.select(F.col("q_id").alias(q_id), F.col("i_id").alias(i_id), "score", "rank")
+
+
+def closest_pairs(queries: DataFrame, items: DataFrame, most: int, min_score: float, group: str, id_col: str = "id", vector: str = "embedding") -> DataFrame:
+    """(q_id, i_id, score): of all pairs of a query and an item of another group the ``most`` of the highest cosine, at min_score or above."""
+    k = dict(items.dtypes)[id_col]
+    got = _pairs_of_blocks(blocks(queries, id_col, vector, group), blocks(items, id_col, vector, group), most, min_score, True, True, False, k, k)
+    return got.orderBy(F.desc("score"), "q_id", "i_id").limit(most)
 
 
 def encode_vector(v: list[float]) -> bytes:

@@ -77,27 +77,8 @@ def nearest_concepts(queries: DataFrame, centroids: DataFrame, k: int = 5, min_s
 
 
 def assign(facts: DataFrame, centroids: DataFrame, vector: str, attach: float = 0.55) -> DataFrame:
-    """The scalable step: every fact to its nearest fixed centroid at ``attach`` or above, else to none. Centroids are a checked, bounded set; facts stream past them."""
-    rows = centroids.where("centroid is not null").limit(vectors.QUERY_BOUND + 1).toPandas()
-    if len(rows) > vectors.QUERY_BOUND:
-        raise ValueError("too many centroids")
-    names = rows.iloc[:, 0].to_numpy(object)
-    m = np.stack(rows["centroid"].to_numpy()).astype(np.float64) if len(rows) else np.zeros((0, 1))
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            v = [x is not None and len(x) == m.shape[1] for x in b[vector]]
-            x = np.stack(b.loc[v, vector].to_numpy()).astype(np.float64) if any(v) and len(m) else np.zeros((0, m.shape[1]))
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            s = np.divide(x, n, out=np.zeros_like(x), where=n > 0) @ m.T
-            best, cluster = np.full(len(b), np.nan), np.full(len(b), None, object)
-            if len(x):
-                k = s.argmax(axis=1)
-                top = s[np.arange(len(x)), k]
-                at = np.flatnonzero(v)
-                best[at] = top
-                cluster[at] = np.where(top >= attach, names[k], None)
-            yield pd.DataFrame({"id": b["id"], "cluster": cluster, "score": best})
-
-    return facts.select("id", vector).mapInPandas(run, "id string, cluster string, score double")
+    """(id, cluster, score): the scalable step: every fact and its nearest fixed centroid, which it joins at ``attach`` or above. Facts meet centroids in blocks."""
+    name = centroids.columns[0]
+    near = vectors.nearest(facts.select(F.col("id").alias("q_id"), F.col(vector).alias("q_vec")), centroids.select(F.col(name).cast("string").alias("i_id"), F.col("centroid").alias("i_vec")), 1, -1.5, exclude_self=False)
+    j = facts.select("id").join(near.select(F.col("q_id").alias("id"), "i_id", "score").distinct(), "id", "left")
+    return j.select("id", F.when(F.col("score") >= attach, F.col("i_id")).alias("cluster"), "score")

@@ -42,9 +42,9 @@ def with_window(facts: DataFrame, provenance: DataFrame) -> DataFrame:
 
 
 def evidence(windows: DataFrame, text_col: str = "text") -> DataFrame:
-    """(window_id, kind, title, evidence): code blocks, shell commands, URLs, paths, tickets and error lines of windows.
+    """(window_id, kind, title, evidence): code blocks, shell commands, URLs, paths, tickets, error lines and stack frames of windows.
 
-    Paths, tickets, URLs and $-commands are looked for outside fenced code, errors everywhere; each distinct once per window."""
+    Paths, tickets, URLs and $-commands are looked for outside fenced code, errors and frames everywhere; each distinct once per window. A path's title has no line and column."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     prose = F.regexp_replace(t, text.FENCE, " ")
     no_url = F.regexp_replace(prose, text.URL, " ")
@@ -59,7 +59,8 @@ def evidence(windows: DataFrame, text_col: str = "text") -> DataFrame:
     commands = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.trim(x), r"^\$\s*", "")), lambda x: x != "")
     found = F.concat(
         blocks, rows("shell_command", F.array_union(commands, F.regexp_extract_all(prose, F.lit(text.COMMAND), 1))), rows("url", F.regexp_extract_all(prose, F.lit(text.URL), 0)),
-        rows("path_mention", F.regexp_extract_all(no_url, F.lit(text.PATH), 1)), rows("ticket_id", F.regexp_extract_all(prose, F.lit(text.TICKET), 1)), rows("error_message", F.regexp_extract_all(t, F.lit(text.ERROR), 0), F.trim),
+        rows("path_mention", F.regexp_extract_all(no_url, F.lit(text.PATH), 1), lambda x: F.regexp_replace(x, text.PATH_PLACE, "")), rows("ticket_id", F.regexp_extract_all(prose, F.lit(text.TICKET), 1)),
+        rows("error_message", F.regexp_extract_all(t, F.lit(text.ERROR), 0), F.trim), rows("stack_trace", F.regexp_extract_all(t, F.lit(text.STACK_FRAME), 0), F.trim),
     )
     return windows.select(F.col("id").alias("window_id"), F.explode(found).alias("x")).select("window_id", "x.kind", "x.title", "x.evidence")
 

@@ -50,6 +50,14 @@ def input_hash(name: str, version: str, model: str, payload: Any) -> str:
     return hashlib.sha256(f"{name}|{version}|{model}|{stable(payload)}".encode()).hexdigest()
 
 
+def parsed(payload: str) -> Any:
+    """The value of a payload in JSON, so that the order of its keys doesn't matter; else the text."""
+    try:
+        return json.loads(payload)
+    except ValueError:
+        return payload
+
+
 def lenient(text: str) -> Any:
     """JSON from an answer: as it is, from its fenced block, or from the first brace to the last."""
     tries = [text]
@@ -103,7 +111,12 @@ def register(stage: Stage) -> Stage:
 TRIAGE = register(
     Stage(
         "triage", "1", "Label the window on four axes. Answer with JSON.", {"relevance": str, "domain": str, "quality": str, "linkage": str, "confidence": float},
-        {"relevance": ("on_topic", "adjacent", "off_topic", "unknown"), "domain": ("business_logic", "architecture", "implementation", "debugging", "devops", "meta", "chitchat", "unknown"), "quality": ("decision_grade", "signal", "weak", "noise"), "linkage": ("this_project", "other_project", "general", "unrelated")},
+        {
+            "relevance": ("on_topic", "off_topic", "mixed", "unknown"),
+            "domain": ("business_logic", "architecture", "implementation", "debugging", "devops", "meta_process", "chitchat", "unknown"),
+            "quality": ("noise", "boilerplate", "signal", "decision_grade"),
+            "linkage": ("this_project", "cross_project", "general_knowledge", "unrelated"),
+        },
     )
 )
 
@@ -148,8 +161,13 @@ RUNS = "key string, input_hash string, output_json string, ok boolean, error str
 def run(stage: Stage, payloads: DataFrame, memo: DataFrame | None = None, backend: Backend | None = None, model: str = "offline", concurrency: int = 4) -> DataFrame:
     """(key, input_hash, output_json, ok, error, cached) for payloads (key, payload as JSON text). Failures are results, too; only good ones are reused."""
     backend = backend or Offline()
-    version = f"{stage.name}|{stage.version}|{model}|"
-    h = payloads.select("key", "payload", F.sha2(F.concat(F.lit(version), "payload"), 256).alias("input_hash"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["input_hash"] = [input_hash(stage.name, stage.version, model, parsed(p)) for p in b["payload"]]
+            yield b
+
+    h = payloads.select("key", "payload").mapInPandas(hashed, "key string, payload string, input_hash string")
     if memo is None:
         hits, miss = None, h
     else:

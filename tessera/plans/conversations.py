@@ -67,7 +67,7 @@ def window_evidence(spark, sf):
     return fa.evidence(i.windows(spark, sf))
 
 
-@query("ticket_mentions", r"""SELECT turn_key, unnest(list_distinct(regexp_extract_all(t, '\b([A-Z][A-Z0-9]{1,9}-\d{1,6})\b', 1))) AS ticket FROM (SELECT DISTINCT id AS turn_key, text AS t FROM turns WHERE text IS NOT NULL)""")
+@query("ticket_mentions", r"""SELECT turn_key, unnest(list_distinct(regexp_extract_all(t, '\b([A-Z][A-Z0-9]{1,9}-\d+)\b', 1))) AS ticket FROM (SELECT DISTINCT id AS turn_key, text AS t FROM turns WHERE text IS NOT NULL)""")
 def ticket_mentions(spark, sf):
     t = table(spark, sf, "turns").where("text is not null").select(F.col("id").alias("turn_key"), "text").distinct()
     return t.select("turn_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(text.TICKET), 1))).alias("ticket"))

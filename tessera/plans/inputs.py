@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import mutate
+from tessera.operators.model import TRIAGE
 from tessera.operators.windows import clean, segment
 from tessera.runtime import table
 
@@ -47,12 +48,7 @@ def pick(values: tuple[str, ...], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
 
 
-AXES = {
-    "relevance": ("on_topic", "adjacent", "off_topic", "on_topic"),
-    "domain": ("business_logic", "architecture", "implementation", "debugging", "devops", "meta", "chitchat", "unknown"),
-    "quality": ("decision_grade", "signal", "weak", "noise"),
-    "linkage": ("this_project", "other_project", "general", "unrelated"),
-}
+AXES = TRIAGE.vocabulary
 
 
 def labels(windows_: DataFrame) -> DataFrame:

@@ -275,16 +275,11 @@ def project_centroids(spark, sf):
   c AS (SELECT label, list(x ORDER BY pos) AS c FROM m GROUP BY label), s AS (SELECT e.vec_id, c.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.c) AS s FROM embeddings e, c)
   SELECT vec_id, label, round(s, 4) AS score, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS INTEGER) AS rank FROM s WHERE s >= 0.2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) <= 3""")
 def nearest_centroids(spark, sf):
-    """Every vector against the few centroids, which go to all tasks; the vectors stream past them."""
+    """Every vector against all centroids, in blocks."""
     e = table(spark, sf, "embeddings")
-    c = vectors.centroids(e, "label", "embedding").select("label", "centroid")
-    from pyspark.sql import Window
-
-    cs = c.agg(F.collect_list(F.struct("label", "centroid")).alias("cs"))  # one row per label
-    x = e.select("vec_id", "embedding").crossJoin(F.broadcast(cs)).select("vec_id", "embedding", F.explode("cs").alias("c"))
-    x = x.select("vec_id", F.col("c.label").alias("label"), vectors.cosine(F.col("embedding"), F.col("c.centroid")).alias("s")).where("s >= 0.2")
-    r = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("s"), "label"))
-    return x.withColumn("rank", r).where("rank <= 3").select("vec_id", "label", F.round("s", 4).alias("score"), "rank")
+    c = vectors.centroids(e, "label", "embedding").select(F.col("label").alias("i_id"), F.col("centroid").alias("i_vec"))
+    n = vectors.nearest(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), c, 3, 0.2, exclude_self=False)
+    return n.select(F.col("q_id").alias("vec_id"), F.col("i_id").alias("label"), F.round("score", 4).alias("score"), "rank")
 
 
 @query("nearest_vectors", """WITH s AS (SELECT a.vec_id AS q_id, b.vec_id AS i_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)

@@ -33,7 +33,7 @@ GROUNDINGS = ("structural", "corroborated", "stated", "external", "model")
 SCOPES = ("industry", "technical", "meta")
 LINK_KINDS = ("same_as", "variant_of", "supersedes", "contradicts")
 ENTITY_KINDS = ("entity",)
-EVIDENCE_KINDS = ("code_block", "shell_command", "path_mention", "url", "ticket_id", "error_message", "dependency", "knowledge_gap", "skill", "industry")
+EVIDENCE_KINDS = ("code_block", "shell_command", "path_mention", "url", "ticket_id", "error_message", "stack_trace", "dependency", "knowledge_gap", "skill", "industry")
 
 
 def conform(df: DataFrame, schema: StructType | str) -> DataFrame:

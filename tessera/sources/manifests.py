@@ -14,12 +14,28 @@ from pyspark.sql import functions as F
 from tessera.functions.text import natural_id
 
 MOST_DEPTH = 4
-# File names and folders that give a tool away. Fixed values.
+# File names, and folders, that give a tool away. Fixed values.
 TOOLS = (
-    (r"(^|/)Dockerfile(\..*)?$", "Docker"), (r"(^|/)docker-compose(\..*)?\.ya?ml$", "Docker Compose"), (r"(^|/)compose\.ya?ml$", "Docker Compose"), (r"\.tf$", "Terraform"),
-    (r"(^|/)Makefile$", "Make"), (r"(^|/)Jenkinsfile$", "Jenkins"), (r"(^|/)serverless\.ya?ml$", "Serverless"), (r"(^|/)vercel\.json$", "Vercel"), (r"(^|/)\.gitlab-ci\.yml$", "GitLab CI"),
-    (r"(^|/)\.github/workflows/", "GitHub Actions"), (r"(^|/)(k8s|kubernetes)/", "Kubernetes"), (r"(^|/)helm/", "Helm"), (r"(^|/)terraform/", "Terraform"),
-)
+    (r"^Dockerfile", "Docker"),
+    (r"^docker-compose\.ya?ml$", "Docker Compose"),
+    (r"^Makefile$", "Make"),
+    (r"\.tf$", "Terraform"),
+    (r"^(skaffold|helmfile)\.ya?ml$", "Kubernetes"),
+    (r"^vercel\.json$", "Vercel"),
+    (r"^netlify\.toml$", "Netlify"),
+    (r"^serverless\.ya?ml$", "Serverless Framework"),
+    (r"^\.gitlab-ci\.yml$", "GitLab CI"),
+)
+FOLDERS = ((".github/workflows", "GitHub Actions"), (".circleci", "CircleCI"), ("k8s", "Kubernetes"), ("kubernetes", "Kubernetes"), ("charts", "Kubernetes"))
+#: Names of the files whose content is read.
+READ = "{package.json,requirements*.txt,pyproject.toml,go.mod,Cargo.toml,pubspec.yaml,composer.json,Gemfile,pom.xml,build.gradle,build.gradle.kts,*.csproj}"
+
+
+def tools(path: str) -> list[str]:
+    """The tools that a path gives away by its file name or its folders."""
+    folder, _, name = path.rpartition("/")
+    inside = f"/{folder}/"
+    return [tool for pattern, tool in TOOLS if re.search(pattern, name)] + [tool for f, tool in FOLDERS if f"/{f}/" in inside]
 
 
 def _toml(text: str) -> dict:
@@ -94,7 +110,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if (parse := _parser(path)) and text:
                 out += [(path, "dependency", n) for n in dict.fromkeys(parse(text))]
-            out += [(path, "tool", tool) for pattern, tool in TOOLS if re.search(pattern, path)]
+            out += [(path, "tool", tool) for tool in tools(path)]
         cols = list(zip(*out)) if out else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["path", "kind", "name"])
 

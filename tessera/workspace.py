@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import lattice, text
 from tessera.operators import code, concepts, facts, graph, incremental, links, model, mutate, skills, triage, windows
+from tessera.runtime import Scratch
 from tessera.sources import manifests, transcripts, tree
 
 DDL = {
@@ -120,14 +121,14 @@ class Workspace:
         turns, calls = transcripts.as_turns(raw, agent, old.select("session_id", "position"))
         n = turns.count()
         self.save("tool_calls", mutate.insert_absent(self.table("tool_calls"), schemas.conform(calls, schemas.TOOL_CALLS.replace(" not null", "")), ["id"]))
-        touched = [r[0] for r in turns.select("session_id").distinct().limit(10_000).collect()] if n else []
+        touched = Scratch(self.spark).save(turns.select("session_id").distinct())
         self.save("turns", old.unionByName(schemas.conform(turns, DDL["turns"].replace(" not null", ""))))
         known = self.table("windows")
-        t = windows.clean(self.table("turns"))
-        fresh = windows.segment(t if len(touched) == 10_000 else t.where(F.col("session_id").isin(touched))).join(known.select("id"), "id", "left_anti")
+        again = windows.segment(windows.clean(self.table("turns").join(touched, "session_id", "left_semi")))
+        fresh = again.join(known.select("id"), "id", "left_anti")
         # windows of touched sessions that no longer come out so have been replaced by longer ones
-        again = windows.segment(t).select("id")
-        self.save("windows", known.join(again, "id", "left_semi").unionByName(schemas.conform(fresh, DDL["windows"])))
+        kept = known.join(touched, "session_id", "left_anti").unionByName(known.join(touched, "session_id", "left_semi").join(again.select("id"), "id", "left_semi"))
+        self.save("windows", kept.unionByName(schemas.conform(fresh, DDL["windows"])))
         work = self.table("windows") if reprocess else self.table("windows").join(known.select("id"), "id", "left_anti")
         found, prov = facts.syntax_facts(work)
         self.save("facts", mutate.upsert(self.table("facts"), schemas.conform(found, schemas.FACTS.replace(" not null", "")), ["id"], keep=["created_at", "cluster_id"], fill=["grounding", "scope"]))
@@ -197,11 +198,17 @@ class Workspace:
         return {r["kind"]: r["n"] for r in self.table("facts").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def _texts(self, path: str) -> DataFrame:
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        """(path, content) of all files; content only of those that declare dependencies."""
         import re
 
+        def read(names: str | None) -> DataFrame:
+            r = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            return (r.option("pathGlobFilter", names) if names else r).load(path)
+
         rel = F.regexp_replace("path", "^(?:file:)?/*" + re.escape(path.strip("/")) + "/", "")
-        return raw.where("length < 1000000").select(rel.alias("path"), F.try_validate_utf8("content").cast("string").alias("content")).where(~F.exists(F.split("path", "/"), lambda x: x.isin(*tree.IGNORED)))
+        every = read(None).select(rel.alias("path"), F.lit(None).cast("string").alias("content"))
+        texts = read(manifests.READ).select(rel.alias("path"), F.try_validate_utf8("content").cast("string").alias("content"))
+        return every.unionByName(texts).where(~F.exists(F.split("path", "/"), lambda x: x.isin(*tree.IGNORED)))
 
     def link(self, path: str) -> dict[str, int]:
         """Exports the project's concepts and skill evidence, then links concepts of equal names and aggregates skills."""

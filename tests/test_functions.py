@@ -60,8 +60,14 @@ def test_full_text_equals_an_engine(spark):
 
 def test_patterns(spark):
     t = "see ./README.md and src/foo/bar.ts:12:3, https://x.example/a/b.js JIRA-1234 GH-42"
-    paths = one(spark, F.regexp_extract_all(F.regexp_replace(F.lit(t), text.URL, " "), F.lit(text.PATH), 1))
+    paths = one(spark, F.transform(F.regexp_extract_all(F.regexp_replace(F.lit(t), text.URL, " "), F.lit(text.PATH), 1), lambda x: F.regexp_replace(x, text.PATH_PLACE, "")))
     assert paths == ["./README.md", "src/foo/bar.ts"]
+    odd = "C:\\src\\app\\main.mp4 and a/b.7z and /x/y.h5:3"
+    assert one(spark, F.regexp_extract_all(F.lit(odd), F.lit(text.PATH), 1)) == ["C:\\src\\app\\main.mp4", "a/b.7z", "/x/y.h5:3"]
+    assert one(spark, F.regexp_extract_all(F.lit("ABC-1234567890 x"), F.lit(text.TICKET), 1)) == ["ABC-1234567890"]
+    log = "an error happened\nTypeError: x is not a function\n    at foo.bar (src/a.ts:10:5)\n  at <anonymous> b.js:3\nDone"
+    assert one(spark, F.regexp_extract_all(F.lit(log), F.lit(text.ERROR), 0)) == ["TypeError: x is not a function"]
+    assert [x.strip() for x in one(spark, F.regexp_extract_all(F.lit(log), F.lit(text.STACK_FRAME), 0))] == ["at foo.bar (src/a.ts:10:5)", "at <anonymous> b.js:3"]
     assert one(spark, F.regexp_extract_all(F.lit(t), F.lit(text.TICKET), 1)) == ["JIRA-1234", "GH-42"]
 
 
@@ -70,9 +76,12 @@ def test_cosine(spark):
     assert [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
 
 
-def test_nearest_and_centroids(spark):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_nearest_and_centroids(spark, monkeypatch, block):
     import numpy as np
 
+    monkeypatch.setattr(vectors, "BLOCK", block)
+
     rng = np.random.default_rng(0)
     m = rng.standard_normal((40, 5)).astype("float32")
     df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(m)] + [(99, 0, None)], "i_id int, g int, i_vec array<float>")
@@ -84,6 +93,9 @@ def test_nearest_and_centroids(spark):
         s = sorted(((float(n[a] @ n[b]), b) for b in range(40) if b % 3 != a % 3), key=lambda x: -x[0])
         want += [(a, b) for x, b in s[:3] if x >= 0]
     assert got == want
+    best = sorted(((-float(n[a] @ n[b]), a, b) for a in range(4) for b in range(40) if b % 3 != a % 3))[:5]
+    top = vectors.closest_pairs(q.selectExpr("q_id as i_id", "q_vec as i_vec", "g"), df, 5, 0.0, "g", "i_id", "i_vec").collect()
+    assert [(r["q_id"], r["i_id"]) for r in top] == [(a, b) for _, a, b in best]
     c = {r["g"]: r for r in vectors.centroids(df, "g", "i_vec").collect()}
     assert c[0]["n_members"] == 15 and np.allclose(c[0]["centroid"], m[0::3].mean(axis=0), atol=1e-6)
 

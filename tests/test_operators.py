@@ -83,7 +83,7 @@ def test_keep_and_routes(spark):
     rows = [("on_topic", "chitchat", "noise", "this_project", 0.95, False), ("on_topic", "chitchat", "decision_grade", "this_project", 0.8, True), ("off_topic", "devops", "signal", "this_project", 0.59, True), (None, None, None, None, None, True)]
     df = spark.createDataFrame(rows, "relevance string, domain string, quality string, linkage string, confidence double, want boolean")
     assert df.where(triage.keep() != F.col("want")).count() == 0
-    r = spark.createDataFrame([("business_logic", "weak"), ("debugging", "signal"), ("chitchat", "signal")], "domain string, quality string").select(triage.routes().alias("r")).collect()
+    r = spark.createDataFrame([("business_logic", "boilerplate"), ("debugging", "signal"), ("chitchat", "signal")], "domain string, quality string").select(triage.routes().alias("r")).collect()
     assert [set(x["r"]) for x in r] == [{"businessLogic", "intent"}, {"decision", "intent", "problemSolution"}, set()]
 
 

@@ -92,3 +92,9 @@ def test_streams(spark, tmp_path):
     got = st.sessions(df).orderBy("user_id", "start").collect()
     assert [(r["user_id"], r["n"]) for r in got] == [("u1", 10), ("u1", 1), ("u2", 10)]
     assert st.tumbling(df, ["user_id"]).agg(F.sum("n")).first()[0] == 21
+
+
+def test_tools_by_path():
+    assert manifests.tools("ops/Dockerfile.dev") == ["Docker"] and manifests.tools("serverless.yaml") == ["Serverless Framework"] and manifests.tools("helmfile.yml") == ["Kubernetes"]
+    assert manifests.tools(".circleci/config.yml") == ["CircleCI"] and manifests.tools("deploy/charts/web/values.yaml") == ["Kubernetes"] and manifests.tools("netlify.toml") == ["Netlify"]
+    assert manifests.tools(".github/workflows/ci.yml") == ["GitHub Actions"] and manifests.tools("src/k8s.py") == []
