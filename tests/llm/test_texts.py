@@ -148,6 +148,19 @@ def test_groups_against_a_search(spark, bound):
     assert groups.connected(df.limit(0), bound=bound).count() == 0
 
 
+def test_one_component_of_many_partitions(spark):
+    """A path and a star of ten times the bound, in shuffled order, and a hub that joins them; no task holds more than the bound."""
+    rng = random.Random(9)
+    ids = [f"{x:04d}" for x in rng.sample(range(10_000), 500)]
+    pairs = list(zip(ids[:250], ids[1:250])) + [(ids[250], x) for x in ids[251:]]
+    rng.shuffle(pairs)
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    got = {r["id"]: r["group_id"] for r in groups.connected(df, bound=24).collect()}
+    assert got == {x: min(ids[:250]) for x in ids[:250]} | {x: min(ids[250:]) for x in ids[250:]}
+    joined = df.unionByName(spark.createDataFrame([(ids[3], ids[250])], "a string, b string"))
+    assert {r["group_id"] for r in groups.connected(joined, bound=24).collect()} == {min(ids)}
+
+
 def test_concept_groups_ignore_other_links(spark):
     c = spark.createDataFrame([("1", "x"), ("2", "x"), ("2", "x"), ("3", "x"), (None, "x")], "id string, kind string")
     l = spark.createDataFrame([("2", "1", "same_as"), ("1", "9", "same_as"), ("3", "1", "variant_of"), ("3", "3", "same_as"), (None, "1", "same_as")], "a string, b string, kind string")
