@@ -11,31 +11,31 @@ text is ordinary text; rows that repeat give a result each.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.lexicon import PATTERN, Lexicon, compile_words, merge, ranks, tokenizer_file
+from tessera.llm.lexicon import Lexicon, compile_words, merge, ranks, split, tokenizer_file
 from tessera.runtime import Scratch, local_path
 
 #: Words that the transducer holds at most, and distinct words that a task keeps at once.
 FREQUENT, HELD = 50_000, 200_000
-_SPLIT = regex.compile(PATTERN)
 
 
 def _count(batches):
     seen: Counter = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        short = [(w, n) for w, n in seen.items() if len(w) <= 64]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], names=["word", "n"])
 
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
-                seen.update(x for x in _SPLIT.findall(t) if len(x) <= 64)
+                seen.update(split(t))
         if len(seen) > HELD:
             yield out()
             seen = Counter()
@@ -49,30 +49,29 @@ def frequent_words(df: DataFrame, text_col: str = "text", k: int = FREQUENT) ->
     return n.orderBy(F.desc("n"), "word").limit(k)
 
 
-class Encoder:
-    """Encodes in a task: the mapped transducer for frequent words, merges for the rest, both kept by word."""
+class Encoder(dict):
+    """Encodes in a task: the ids of the words met, first from the mapped transducer, for words that it lacks by merges."""
 
     def __init__(self, vocabulary: str, lexicon: Lexicon | None):
-        self.rank, self.lexicon, self.seen = ranks(vocabulary), lexicon, {}
+        super().__init__()
+        self.rank, self.lexicon = ranks(vocabulary), lexicon
 
-    def word(self, w: str) -> list[int]:
+    def __missing__(self, w: str) -> list[int]:
         b = w.encode("utf-8", "surrogatepass")
         got = self.lexicon.get(b) if self.lexicon is not None else None
         if got is None:
             got = merge(b, self.rank)
-        if len(self.seen) >= HELD:
-            self.seen.clear()
+        if len(self) >= HELD:
+            self.clear()
         if len(w) <= 64:
-            self.seen[w] = got
+            self[w] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        seen, out = self.seen, []
-        for w in _SPLIT.findall(text):
-            out += seen.get(w) or self.word(w)
-        return out
+        return list(chain.from_iterable(map(self.__getitem__, split(text)))) if text else []
+
+    def count(self, text: str | None) -> int:
+        return sum(map(len, map(self.__getitem__, split(text)))) if text else 0
 
 
 def _encoder(df: DataFrame, text_col: str, vocabulary: str, k: int):
@@ -101,7 +100,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         for b in batches:
             got = [e.encode(t) for t in b.column(1).to_pylist()]
             at = np.cumsum([0, *map(len, got)]).astype(np.int32)
-            flat = np.fromiter((x for g in got for x in g), np.int32, int(at[-1]))
+            flat = np.fromiter(chain.from_iterable(got), np.int32, int(at[-1]))
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[id_col, "ids"])
 
@@ -116,7 +115,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         e = make()
         for b in batches:
-            n = pa.array([len(e.encode(t)) for t in b.column(1).to_pylist()], pa.int32())
+            n = pa.array([e.count(t) for t in b.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), n], names=[id_col, "n_tokens"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens int")

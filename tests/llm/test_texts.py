@@ -148,6 +148,17 @@ def test_groups_against_a_search(spark, bound):
     assert groups.connected(df.limit(0), bound=bound).count() == 0
 
 
+def test_split_is_that_of_the_pattern():
+    import regex
+
+    rng = random.Random(0)
+    pattern = regex.compile(lexicon.PATTERN)
+    for top in (128, 0x250, 0xD800, 0x110000):
+        for _ in range(800):
+            t = "".join(chr(rng.choice([rng.randrange(min(top, 0xD800)), 0x1C, 0x85, 0xA0, 32, 10, 39, 115, 65, 48, top - 1 if top > 0xE000 or top <= 0xD800 else 65])) for _ in range(40))
+            assert lexicon.split(t) == pattern.findall(t)
+
+
 def test_one_component_of_many_partitions(spark):
     """A path and a star of ten times the bound, in shuffled order, and a hub that joins them; no task holds more than the bound."""
     rng = random.Random(9)
@@ -193,7 +204,7 @@ def test_merges_are_exact(reference):
     rng = random.Random(2)
     for _ in range(300):
         w = "".join(rng.choices("aeinorst hé漢😀0'", k=rng.randint(1, 40)))
-        for x in encode._SPLIT.findall(w):
+        for x in lexicon.split(w):
             assert lexicon.merge(x.encode(), rank) == reference.encode_ordinary(x)
     long = "abcde" * 8000
     assert lexicon.merge(long.encode(), rank) == reference.encode_ordinary(long)
