@@ -81,6 +81,10 @@ def prune_orphans(facts: DataFrame, edges: DataFrame, code_links: DataFrame, bel
     return facts.where((F.col("confidence") < below) & F.col("cluster_id").isNull()).join(ends, "id", "left_anti").join(code_links.select(F.col("k_node_id").alias("id")), "id", "left_anti")
 
 
+#: Kinds of facts that the verifier compares. Fixed values.
+VERIFIED = ("decision", "business_rule", "constraint", "pattern")
+
+
 def verify_pairs(facts: DataFrame, kinds: tuple[str, ...], most: int = 5) -> DataFrame:
     """(cluster_id, kind, a, b): pairs of facts of one kind in one cluster in order of creation, at most ``most`` per cluster.
 

@@ -81,6 +81,7 @@ class Stage:
     required: dict[str, type] = field(default_factory=dict)
     vocabulary: dict[str, tuple[str, ...]] = field(default_factory=dict)
     post: Callable[[dict], dict] | None = None
+    more: Callable[[dict], str | None] | None = None
 
     def check(self, x: Any) -> str | None:
         """What is wrong with an answer, or None."""
@@ -96,7 +97,7 @@ class Stage:
                 return f"{k} is none of {', '.join(allowed)}"
         if "confidence" in x and not (isinstance(x["confidence"], (int, float)) and 0 <= x["confidence"] <= 1):
             return "confidence is not between 0 and 1"
-        return None
+        return self.more(x) if self.more else None
 
 
 REGISTRY: dict[str, Stage] = {}
@@ -140,6 +141,53 @@ EXTRACTORS = {
 }
 
 
+def _action(x: dict) -> str | None:
+    """Each action of the clusterer has fields of its own."""
+    if x["action"] == "attach":
+        return None if isinstance(x.get("conceptId"), str) else "conceptId is missing"
+    if not str(x.get("suggestedName") or "").strip():
+        return "suggestedName is missing"
+    two = x.get("conceptIds")
+    return "conceptIds are not two" if x["action"] == "merge" and not (isinstance(two, list) and len(two) == 2 and all(isinstance(i, str) for i in two)) else None
+
+
+def _kept(field_: str, needed: tuple[str, ...], **allowed: tuple[str, ...]) -> Callable[[dict], list[dict]]:
+    """The items of a list that have all the needed texts, with values of the closed vocabularies."""
+
+    def keep(x: dict) -> list[dict]:
+        items = [i for i in x.get(field_) or [] if isinstance(i, dict) and all(str(i.get(k) or "").strip() for k in needed)]
+        return [i for i in items if all(i.get(k) in v for k, v in allowed.items())]
+
+    return keep
+
+
+# Vocabularies of the stages. Fixed values.
+ACTIONS = ("attach", "create", "merge")
+RELATIONS = ("same_as", "variant_of", "supersedes", "contradicts", "none")
+VERDICTS = ("consistent", "contradicts", "a_supersedes_b", "b_supersedes_a")
+RELATION_KINDS = ("relates_to", "owned_by", "part_of", "depends_on")
+
+CLUSTERER = register(Stage("clusterer", "1", "Attach the fact to one of the concepts, create one, or merge two. Answer with JSON.", {"action": str, "confidence": float, "reason": str}, {"action": ACTIONS}, more=_action))
+SUMMARIZER = register(Stage("summarizer", "1", "Name and summarise the concept of these facts. Answer with JSON.", {"name": str, "summary": str, "structured": dict}))
+LINKER = register(Stage("linker", "1", "Tell how the two concepts relate. Answer with JSON.", {"relation": str, "confidence": float, "reason": str}, {"relation": RELATIONS}))
+VERIFIER = register(Stage("verifier", "1", "Tell whether the two facts agree. Answer with JSON.", {"verdict": str, "confidence": float, "reason": str}, {"verdict": VERDICTS}))
+
+_relations, _gaps = _kept("relationships", ("from", "to", "evidence"), kind=RELATION_KINDS), _kept("gaps", ("title", "why", "evidence"))
+_skills, _items = _kept("skills", ("name", "evidence")), _kept("items", ("title", "description", "basis"))
+
+
+def _domain(x: dict) -> dict:
+    r, g = _relations(x), _gaps(x)
+    said = len(x.get("relationships") or []) + len(x.get("gaps") or [])
+    return {"relationships": r, "gaps": g, "confidence": (len(r) + len(g)) / said if said else 0.0}
+
+
+DOMAIN_MODELER = register(Stage("domainModeler", "1", "Relations between these entities, and gaps, each with a quotation. Answer with JSON.", {"relationships": list, "gaps": list}, post=_domain))
+TECHNICAL_PROFILER = register(Stage("technicalProfiler", "1", "Skills that languages, dependencies and tools show. Answer with JSON.", {"skills": list}, post=lambda x: {"skills": _skills(x), "confidence": len(_skills(x)) / len(x["skills"]) if x["skills"] else 0.0}))
+INDUSTRY_CLASSIFIER = register(Stage("industryClassifier", "1", "The industry that the project serves, with evidence. Answer with JSON.", {"industry": str, "confidence": float, "domains": list, "evidence": str}))
+INDUSTRY_ENRICHER = register(Stage("industryEnricher", "1", "What is standard in the industry, with its basis. Answer with JSON.", {"items": list}, post=lambda x: {"items": _items(x)[:15], "confidence": 0.5 if _items(x) else 0.0}))
+
+
 def declared_evidence(evidence: Any, declared: Any):
     """Whether a text of evidence names a declared item, in either direction, case folded."""
     e = F.lower(evidence)
@@ -158,16 +206,22 @@ def kept_relations(relations: DataFrame, titles: DataFrame, kinds: tuple[str, ..
 RUNS = "key string, input_hash string, output_json string, ok boolean, error string"
 
 
-def run(stage: Stage, payloads: DataFrame, memo: DataFrame | None = None, backend: Backend | None = None, model: str = "offline", concurrency: int = 4) -> DataFrame:
-    """(key, input_hash, output_json, ok, error, cached) for payloads (key, payload as JSON text). Failures are results, too; only good ones are reused."""
-    backend = backend or Offline()
+def with_hash(stage: Stage, payloads: DataFrame, model: str = "offline") -> DataFrame:
+    """(key, payload, input_hash): by stage, version, model and the payload's value."""
+    name, version = stage.name, stage.version
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["input_hash"] = [input_hash(stage.name, stage.version, model, parsed(p)) for p in b["payload"]]
+            b["input_hash"] = [input_hash(name, version, model, parsed(p)) for p in b["payload"]]
             yield b
 
-    h = payloads.select("key", "payload").mapInPandas(hashed, "key string, payload string, input_hash string")
+    return payloads.select("key", "payload").mapInPandas(hashed, "key string, payload string, input_hash string")
+
+
+def run(stage: Stage, payloads: DataFrame, memo: DataFrame | None = None, backend: Backend | None = None, model: str = "offline", concurrency: int = 4) -> DataFrame:
+    """(key, input_hash, output_json, ok, error, cached) for payloads (key, payload as JSON text). Failures are results, too; only good ones are reused."""
+    backend = backend or Offline()
+    h = with_hash(stage, payloads, model)
     if memo is None:
         hits, miss = None, h
     else:

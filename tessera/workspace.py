@@ -14,19 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.functions import lattice, text
-from tessera.operators import code, concepts, facts, graph, incremental, links, model, mutate, skills, triage, windows
+from tessera.functions import lattice, text, vectors
+from tessera.operators import code, concepts, enrichment, facts, graph, incremental, links, model, mutate, skills, triage, windows
 from tessera.runtime import Scratch
 from tessera.sources import manifests, transcripts, tree
 
 DDL = {
     "files": schemas.FILES + ", content string, project_id string", "nodes": schemas.NODES, "edges": schemas.EDGES, "refs": schemas.UNRESOLVED, "turns": schemas.TURNS + ", position long", "tool_calls": schemas.TOOL_CALLS,
     "windows": "id string, session_id string, start_idx int, end_idx int, n_turns long, text string, text_hash string", "triage": schemas.TRIAGE, "facts": schemas.FACTS, "fact_edges": schemas.FACT_EDGES, "provenance": schemas.PROVENANCE, "code_links": schemas.CODE_LINKS,
-    "runs": schemas.AGENT_RUNS + ", key string", "projects": "id string, name string, path string", "concepts_global": "id string, project_id string, local_concept_id string, name string, summary string, domain string, scope string, embedding array<float>, updated_at timestamp",
+    "concepts": schemas.CONCEPTS, "runs": schemas.AGENT_RUNS + ", key string", "projects": "id string, name string, path string", "concepts_global": "id string, project_id string, local_concept_id string, name string, summary string, domain string, scope string, embedding array<float>, updated_at timestamp",
     "concept_links": "a string, b string, kind string, score double, source string", "skill_evidence": "skill_id string, project_id string, name string, weight double, grounding string", "skills": "skill_id string, name string, evidence_weight double, project_count long, grounding string",
 }
 
-DEFAULTS = {"backend": "offline", "model": "offline", "concurrency": 4, "prune_below": 0.25, "max_pairs": 5}
+DEFAULTS = {"backend": "offline", "model": "offline", "concurrency": 4, "prune_below": 0.25, "max_pairs": 5, "most_links": 200, "min_similarity": 0.78}
 
 
 def merged(*layers: dict) -> dict:
@@ -146,16 +146,93 @@ class Workspace:
         l = m.join(r, "mention").select(F.col("id").alias("k_node_id"), node.alias("code_node_id"), F.col("path").alias("code_file"), F.lit(1.0).alias("weight"))
         self.save("code_links", l.distinct())
 
+    def _answers(self, stage: model.Stage, payloads: DataFrame) -> DataFrame:
+        """(key, output_json) of every payload, null where the stage failed. Runs are recorded; good ones are reused."""
+        payloads = Scratch(self.spark).save(payloads)
+        memo = self.table("runs")
+        out = model.run(stage, payloads, memo, self.backend, self.config["model"], self.config["concurrency"])
+        audit = out.where("not cached").select(F.lit(stage.name).alias("agent_name"), F.lit(self.config["model"]).alias("model"), "input_hash", "output_json", "ok", "error", "key", F.current_timestamp().alias("produced_at"))
+        self.save("runs", memo.unionByName(schemas.conform(audit, DDL["runs"])))
+        good = self.table("runs").where(F.col("ok") & (F.col("agent_name") == stage.name)).groupBy("input_hash").agg(F.max_by("output_json", "produced_at").alias("output_json"))
+        return Scratch(self.spark).save(model.with_hash(stage, payloads, self.config["model"]).select("key", "input_hash").join(good, "input_hash", "left").select("key", "output_json"))
+
+    def extract(self) -> dict[str, int]:
+        """Facts of the kept windows by the extractors that their labels route to; a failed call leaves the others."""
+        labels = self.table("triage")
+        t = triage.tasks(labels).join(self.table("windows").select(F.col("id").alias("window_id"), "text"), "window_id").join(labels.select("window_id", "domain"), "window_id")
+        payload = F.to_json(F.struct("text", F.col("window_id").alias("windowId"), "domain"))
+        t = Scratch(self.spark).save(t.select("agent", "domain", F.col("window_id").alias("key"), payload.alias("payload")))
+        found = None
+        for name, stage in model.EXTRACTORS.items():
+            mine = t.where(F.col("agent") == name)
+            x = self._answers(stage, mine).select("key", F.explode(F.from_json("output_json", "struct<facts: array<struct<kind: string, title: string, summary: string, evidence: string, confidence: double>>>")["facts"]).alias("f"))
+            x = x.join(mine.select("key", "domain"), "key").withColumn("source", F.lit(f"agent:{name}"))
+            found = x if found is None else found.unionByName(x)
+        rows = found.select(
+            text.natural_id("f.kind", "key", F.lower("f.title")).alias("id"), "f.kind", "f.title", "f.summary", F.col("f.evidence").alias("evidence_text"), F.coalesce("f.confidence", F.lit(0.5)).alias("confidence"), "source",
+            F.lit(self.config["model"]).alias("agent_model"), F.lit("stated").alias("grounding"), lattice.scope_from_domain().alias("scope"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"), F.col("key").alias("window_id"),
+        )
+        rows = Scratch(self.spark).save(rows.dropDuplicates(["id"]))
+        self.save("facts", mutate.upsert(self.table("facts"), schemas.conform(rows, schemas.FACTS.replace(" not null", "")), ["id"], keep=["created_at", "cluster_id"], fill=["grounding", "scope"]))
+        prov = rows.select(F.col("id").alias("k_node_id"), "window_id")
+        self.save("provenance", self.table("provenance").unionByName(schemas.conform(prov, schemas.PROVENANCE.replace(" not null", ""))).distinct())
+        return {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def cluster(self, again: bool = False) -> dict[str, int]:
+        """Puts facts without a concept into one: an offered concept or two merged ones where the model says so, else new ones, which
+        similar new facts share; facts without a vector go to a concept of their kind. Then names, summaries and centroids of what changed."""
+        keep = Scratch(self.spark)
+        f = self.table("facts")
+        open_ = f.where(~F.col("kind").isin(*schemas.EVIDENCE_KINDS) & (F.lit(again) | F.col("cluster_id").isNull()))
+        said = open_.select("id", "kind", "title", "summary", "created_at", F.concat_ws(" ", "title", "summary").alias("t"))
+        emb = keep.save(said.join(enrichment.hash_embedding(said, "id", "t"), "id"))
+        old = self.table("concepts") if not again else self.table("concepts").limit(0)
+        near = concepts.nearest_concepts(emb.select(F.col("id").alias("q_id"), F.col("embedding").alias("q_vec")), old.select(F.col("id").alias("i_id"), F.col("embedding").alias("i_vec")))
+        near = keep.save(near.join(old.select(F.col("id").alias("i_id"), "name", F.col("summary").alias("about")), "i_id"))
+        offered = near.groupBy(F.col("q_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("i_id").alias("id"), "name", F.col("about").alias("summary")))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["summary"].alias("summary"))).alias("candidates"))
+        asked = emb.where("embedding is not null").join(offered, "id", "left")
+        payload = F.to_json(F.struct(F.struct("id", "kind", "title", "summary").alias("fact"), F.coalesce("candidates", F.array().cast("array<struct<id:string,name:string,summary:string>>")).alias("candidates")))
+        a = self._answers(model.CLUSTERER, asked.select(F.col("id").alias("key"), payload.alias("payload")))
+        x = F.from_json("output_json", "struct<action: string, conceptId: string, conceptIds: array<string>, suggestedName: string>")
+        a = a.select(F.col("key").alias("fact_id"), x.alias("x")).select("fact_id", F.coalesce("x.action", F.lit("create")).alias("action"), F.coalesce("x.conceptId", F.try_element_at("x.conceptIds", F.lit(1))).alias("cluster_id"), F.try_element_at("x.conceptIds", F.lit(2)).alias("other_id"), F.col("x.suggestedName").alias("suggested"))
+        acts = keep.save(enrichment.cluster_actions(a, near.select(F.col("q_id").alias("fact_id"), F.col("i_id").alias("cluster_id"))).join(a.select("fact_id", "suggested"), "fact_id"))
+        fresh = keep.save(emb.join(acts.where("action = 'create'").select(F.col("fact_id").alias("id"), "suggested"), "id"))
+        folded = concepts.fold(fresh, "kind", "created_at", "embedding").select("id", F.concat(F.lit("c:"), "cluster").alias("cluster_id"))
+        bare = emb.where("embedding is null").select("id", F.concat(F.lit("u:"), "kind").alias("cluster_id"))
+        to = keep.save(acts.where("action <> 'create'").select(F.col("fact_id").alias("id"), "cluster_id").unionByName(folded).unionByName(bare))
+        merges = acts.where("action = 'merge'").groupBy(F.col("other_id").alias("cluster_id")).agg(F.min("cluster_id").alias("into"))
+        f = f.withColumn("cluster_id", F.when(F.lit(again), None).otherwise(F.col("cluster_id"))).join(to.withColumnRenamed("cluster_id", "_to"), "id", "left").withColumn("cluster_id", F.coalesce("_to", "cluster_id")).drop("_to")
+        f = f.join(merges, "cluster_id", "left").withColumn("cluster_id", F.coalesce("into", "cluster_id")).drop("into")
+        self.save("facts", f)
+        names = fresh.select(F.concat(F.lit("c:"), "id").alias("id"), F.coalesce("suggested", F.substring("title", 1, 60)).alias("name"))
+        names = names.unionByName(bare.select(F.col("cluster_id").alias("id"), F.concat(F.substring("cluster_id", 3, 200), F.lit(" (uncategorized)")).alias("name")).distinct())
+        dirty = keep.save(to.select(F.col("cluster_id").alias("id")).unionByName(merges.select(F.col("into").alias("id"))).distinct())
+        n = self._summarize(dirty, old, names)
+        return {"processed": to.count(), "created": fresh.join(folded.select(F.substring("cluster_id", 3, 200).alias("id")).distinct(), "id", "left_semi").count(), "summarized": n}
+
+    def _summarize(self, dirty: DataFrame, old: DataFrame, names: DataFrame) -> int:
+        """The concepts table: counts, scopes and centroids of all; names and summaries of the changed ones by the model, else as they were."""
+        keep = Scratch(self.spark)
+        f = keep.save(self.table("facts").where("cluster_id is not null"))
+        known = keep.save(old.select("id", F.col("name").alias("_name"), F.col("summary").alias("_summary"), F.col("domain").alias("_domain")).join(names.groupBy("id").agg(F.min("name").alias("_new")), "id", "full_outer"))
+        m = concepts.members(f.join(dirty.withColumnRenamed("id", "cluster_id"), "cluster_id", "left_semi")).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "title", "summary"))).alias("m"))
+        m = m.join(known, m["cluster_id"] == known["id"], "left")
+        payload = F.to_json(F.struct(F.col("cluster_id").alias("conceptId"), F.coalesce("_name", "_new").alias("currentName"), F.transform("m", lambda x: F.struct(x["kind"].alias("kind"), x["title"].alias("title"), x["summary"].alias("summary"))).alias("facts")))
+        got = self._answers(model.SUMMARIZER, m.select(F.col("cluster_id").alias("key"), payload.alias("payload")))
+        got = keep.save(got.select(F.col("key").alias("id"), F.from_json("output_json", "struct<name: string, summary: string, domain: string>").alias("x")).select("id", "x.*"))
+        vec = enrichment.hash_embedding(f.select("id", F.concat_ws(" ", "title", "summary").alias("t")), "id", "t")
+        cen = vectors.centroids(f.select("id", "cluster_id").join(vec, "id"), "cluster_id", "embedding").select(F.col("cluster_id").alias("id"), F.col("centroid").cast("array<float>").alias("embedding"))
+        s = concepts.summary(f).withColumnRenamed("cluster_id", "id")
+        out = s.join(known, "id", "left").join(got, "id", "left").join(cen, "id", "left")
+        out = out.select("id", F.coalesce("name", "_name", "_new").alias("name"), F.coalesce("summary", "_summary").alias("summary"), F.coalesce("domain", "_domain").alias("domain"), "scope", "grounding", F.col("member_count").cast("int").alias("member_count"), "embedding")
+        self.save("concepts", out)
+        return got.where("name is not null").count()
+
     def triage(self, work: DataFrame | None = None) -> int:
         """Labels of windows; where the model fails they are kept with little confidence. Good results are reused."""
         w = self.table("windows") if work is None else work
         payload = F.to_json(F.struct(text.clamp("text", 6000).alias("text"), F.col("id").alias("windowId")))
-        memo = self.table("runs")
-        out = model.run(model.TRIAGE, w.select(F.col("id").alias("key"), payload.alias("payload")), memo, self.backend, self.config["model"], self.config["concurrency"])
-        audit = out.where("not cached").select(F.lit("triage").alias("agent_name"), F.lit(self.config["model"]).alias("model"), "input_hash", "output_json", "ok", "error", "key", F.current_timestamp().alias("produced_at"))
-        self.save("runs", memo.unionByName(schemas.conform(audit, DDL["runs"])))
-        runs = self.table("runs")
-        best = w.select(F.col("id").alias("key")).join(runs.groupBy("key").agg(F.max_by("output_json", F.struct("ok", "produced_at")).alias("output_json")), "key", "left")
+        best = self._answers(model.TRIAGE, w.select(F.col("id").alias("key"), payload.alias("payload")))
         x = F.from_json("output_json", "struct<relevance: string, domain: string, quality: string, linkage: string, confidence: double, rationale: string>")
         good = best.withColumn("x", x)
         failed = triage.failed(good.where("x is null").select(F.col("key").alias("id")))
@@ -213,26 +290,49 @@ class Workspace:
     def link(self, path: str) -> dict[str, int]:
         """Exports the project's concepts and skill evidence, then links concepts of equal names and aggregates skills."""
         project = self.register(path)
-        f = self.table("facts").where("cluster_id is not null")
-        c = concepts.summary(f).join(f.groupBy("cluster_id").agg(F.min("title").alias("name")), "cluster_id")
-        out = c.select(text.natural_id(F.lit(project), "cluster_id").alias("id"), F.lit(project).alias("project_id"), F.col("cluster_id").alias("local_concept_id"), "name", "scope")
+        c = self.table("concepts")
+        out = c.select(text.natural_id(F.lit(project), "id").alias("id"), F.lit(project).alias("project_id"), F.col("id").alias("local_concept_id"), "name", "summary", "domain", "scope", "embedding", F.current_timestamp().alias("updated_at"))
         old = self.table("concepts_global").where(F.col("project_id") != project)
         self.save("concepts_global", old.unionByName(schemas.conform(out, DDL["concepts_global"])))
         ev = skills.last_wins(skills.evidence(self.table("files").where(F.col("project_id") == project), self.table("facts").withColumn("project_id", F.lit(project))))
         self.save("skill_evidence", self.table("skill_evidence").where(F.col("project_id") != project).unionByName(schemas.conform(ev, DDL["skill_evidence"])))
         self.save("skills", skills.synthesize(self.table("skill_evidence")))
+        every = self.table("concepts_global")
+        mine = every.where(F.col("project_id") == project)
+        found = links.mechanical(mine, every).withColumns({"kind": F.lit("same_as"), "source": F.lit("mechanical")})
+        judged = self._semantic(mine, every).withColumn("source", F.lit("agent:linker"))
+        new = found.unionByName(judged).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "kind", "score", "source").dropDuplicates(["a", "b", "kind", "source"])
+        kept = mutate.cascade(mutate.cascade(self.table("concept_links"), "a", every), "b", every)
+        self.save("concept_links", mutate.upsert(kept, schemas.conform(new, DDL["concept_links"]), ["a", "b", "kind", "source"]))
         n = links.mechanical_degrees(self.table("concepts_global")).count()
-        return {"linked_concepts": n, "skills": self.table("skills").count()}
-
-    def verify(self, prune_below: float | None = None) -> int:
-        """Removes orphaned facts of little confidence and what hangs on them."""
+        return {"linked_concepts": n, "links": self.table("concept_links").count(), "skills": self.table("skills").count()}
+
+    def _semantic(self, mine: DataFrame, every: DataFrame) -> DataFrame:
+        """(a, b, kind, score) of the closest pairs across projects that the linker confirms."""
+        pairs = Scratch(self.spark).save(links.closest(mine, every, self.config["most_links"], self.config["min_similarity"]))
+        c = every.select("id", F.struct("id", "name", "summary", "domain", F.col("project_id").alias("project")).alias("s"))
+        j = pairs.join(c.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(c.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        got = self._answers(model.LINKER, j.select(F.concat_ws("|", "a", "b").alias("key"), F.to_json(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b"))).alias("payload")))
+        v = got.select(F.split("key", "[|]")[0].alias("a"), F.split("key", "[|]")[1].alias("b"), F.from_json("output_json", "struct<relation: string, confidence: double>").alias("x")).select("a", "b", "x.*").where("relation is not null")
+        return links.judged(pairs, v).select("a", "b", "kind", "score")
+
+    def verify(self, prune_below: float | None = None) -> dict[str, int]:
+        """Removes orphaned facts of little confidence and what hangs on them; then pairs of facts of one concept and kind go to the verifier, and its verdicts become edges."""
         f = self.table("facts")
         gone = graph.prune_orphans(f, self.table("fact_edges"), self.table("code_links"), self.config["prune_below"] if prune_below is None else prune_below).select("id")
         n = gone.count()
         left = mutate.delete_keys(f, gone, "id")
         self.save("provenance", mutate.cascade(self.table("provenance"), "k_node_id", left))
         self.save("facts", left)
-        return n
+        left = self.table("facts")
+        pairs = Scratch(self.spark).save(graph.verify_pairs(left, graph.VERIFIED, self.config["max_pairs"]).select("a", "b"))
+        c = left.select("id", F.struct("id", "kind", "title", "summary", F.col("created_at").cast("long").alias("ts")).alias("s"))
+        j = pairs.join(c.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(c.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        got = self._answers(model.VERIFIER, j.select(F.concat_ws("|", "a", "b").alias("key"), F.to_json(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b"))).alias("payload")))
+        v = got.select(F.split("key", "[|]")[0].alias("a"), F.split("key", "[|]")[1].alias("b"), F.from_json("output_json", "struct<verdict: string, confidence: double>").alias("x")).select("a", "b", "x.*").where("verdict is not null")
+        e = Scratch(self.spark).save(graph.supersede(v))
+        self.save("fact_edges", mutate.upsert(self.table("fact_edges"), schemas.conform(e.withColumn("weight", F.lit(1.0)), schemas.FACT_EDGES.replace(" not null", "")), ["source", "target", "kind"]))
+        return {"pruned": n, "pairs": pairs.count(), **{r["kind"]: r["n"] for r in e.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}}
 
     def clean(self, path: str, yes: bool = False) -> dict[str, int]:
         """Counts what a project has in the global tables; removes it if told so."""

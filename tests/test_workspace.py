@@ -53,7 +53,7 @@ def test_the_whole_way(spark, app, tmp_path_factory):
         assert w.snapshot(s).count() >= 0
     with pytest.raises(ValueError):
         w.snapshot("nope")
-    assert w.verify() == 0
+    assert w.verify() == {"pruned": 0, "pairs": 0}
     (root / "src" / "auth.py").unlink()
     assert w.sync(p) == {"same": 1, "gone": 1} and w.node("login").count() == 0
     assert w.clean(p)["evidence"] >= 2 and w.status()["skills"] >= 2
@@ -62,6 +62,53 @@ def test_the_whole_way(spark, app, tmp_path_factory):
     assert "triage" in w.agents() and w.learn().count() == 0
 
 
+class Scripted:
+    """Answers by stage; sees which calls were made."""
+
+    def chat(self, system, user):
+        x = json.loads(user.split("\n\n")[0])
+        if "four axes" in system:
+            return json.dumps({"relevance": "on_topic", "domain": "architecture", "quality": "decision_grade", "linkage": "this_project", "confidence": 0.9})
+        if "Extract decisions" in system:
+            return "Sure:\n```json\n" + json.dumps({"facts": [{"kind": "decision", "title": "use session cookies for login", "confidence": 0.9}, {"kind": "decision", "title": "use signed tokens for login", "confidence": 0.8}, {"kind": "nonsense", "title": "x"}]}) + "\n```"
+        if "Extract" in system:
+            return json.dumps({"facts": []})
+        if "Attach" in system:
+            c = x["candidates"]
+            return json.dumps({"action": "attach", "conceptId": c[0]["id"], "confidence": 0.9, "reason": "same"} if c else {"action": "create", "suggestedName": "login", "confidence": 0.9, "reason": "new"})
+        if "Name and summarise" in system:
+            return json.dumps({"name": "login sessions", "summary": f"{len(x['facts'])} facts", "structured": {}, "domain": "architecture"})
+        if "two facts" in system:
+            return json.dumps({"verdict": "b_supersedes_a", "confidence": 0.8, "reason": "newer"})
+        if "two concepts" in system:
+            return json.dumps({"relation": "variant_of", "confidence": 0.9, "reason": "similar"})
+        return "{}"
+
+
+def test_facts_to_concepts_to_links(spark, app, tmp_path_factory):
+    root, logs, _ = app
+    w = Workspace(spark, "file://" + str(tmp_path_factory.mktemp("ws3")), {"min_similarity": 0.2}, backend=Scripted())
+    p = str(root)
+    w.ingest("cursor", str(logs), p)
+    assert w.extract() == {"decision": 2} and w.extract() == {"decision": 2}
+    assert w.table("facts").where("kind = 'decision'").count() == 2
+    got = w.cluster()
+    assert got["processed"] == 2 and got["created"] == 1 and w.cluster()["processed"] == 0
+    assert w.table("facts").where("kind = 'decision' and cluster_id is null").count() == 0
+    c = w.table("concepts").collect()
+    assert [(r["name"], r["summary"], r["domain"], r["member_count"]) for r in c] == [("login sessions", "2 facts", "architecture", 2)] and c[0]["embedding"]
+    other = w.table("concepts").selectExpr("'other' as id", "'p2' as project_id", "id as local_concept_id", "'LOGIN Sessions' as name", "summary", "domain", "scope", "embedding", "current_timestamp() as updated_at")
+    w.save("concepts_global", other)
+    out = w.link(p)
+    assert out["links"] == 2 and {(r["kind"], r["source"], r["score"]) for r in w.table("concept_links").collect()} == {("same_as", "mechanical", 0.8), ("variant_of", "agent:linker", 0.9)}
+    assert w.link(p)["links"] == 2
+    v = w.verify()
+    assert v == {"pruned": 0, "pairs": 1, "supersedes": 1} and w.table("fact_edges").where("kind = 'supersedes'").count() == 1
+    assert w.explain(w.table("concepts").first()["id"]).first()["decisions"] == ["use session cookies for login", "use signed tokens for login"]
+    assert w.table("runs").where("ok").select("agent_name").distinct().count() >= 6
+    assert {"clusterer", "summarizer", "linker", "verifier", "domainModeler", "technicalProfiler", "industryClassifier", "industryEnricher"} <= set(w.agents())
+
+
 def test_failed_models_keep_windows(spark, app, tmp_path_factory):
     root, logs, _ = app
     w = Workspace(spark, "file://" + str(tmp_path_factory.mktemp("ws2")))
