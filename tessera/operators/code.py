@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import Scratch
+
 NODE = "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, docstring string, signature string, is_exported boolean, is_async boolean"
 LINK = "source string, target string, kind string, metadata string, line int"
 
@@ -187,27 +189,29 @@ def _parse(path: str, language: str, text: str):
     return [], [], []
 
 
+REFERENCE = "from_node_id string, reference_name string, reference_kind string, line int, file_path string"
+
+
 def extract(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, references) of files (path, language, content)."""
+    """(nodes, edges, references) of files (path, language, content). Every file is parsed once; what it gives is written as one table and read back by kind."""
     src = files.where("path is not null and content is not null").select("path", "language", "content")
-
-    def part(which: int, names: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([(n, t) for n, t in zip(names, types)])
-            for b in batches:
-                rows = [r for p, l, t in zip(*(c.to_pylist() for c in b.columns)) for r in _parse(p, l, t)[which]]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
-
-        kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-        ddl = (NODE, LINK, "from_node_id string, reference_name string, reference_kind string, line int, file_path string")[which]
-        types = [kinds[x.split()[1]] for x in ddl.split(", ")]
-        return src.mapInArrow(run, ddl)
-
-    return (
-        part(0, [x.split()[0] for x in NODE.split(", ")]).dropDuplicates(["id"]),
-        part(1, [x.split()[0] for x in LINK.split(", ")]),
-        part(2, ["from_node_id", "reference_name", "reference_kind", "line", "file_path"]),
-    )
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    parts = {"node": NODE, "link": LINK, "ref": REFERENCE}
+    fields = {k: [tuple(x.split()) for x in ddl.split(", ")] for k, ddl in parts.items()}
+    schema = pa.schema([("part", pa.string()), *[(k, pa.struct([(n, kinds[t]) for n, t in f])) for k, f in fields.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p, l, t in zip(*(c.to_pylist() for c in b.columns)):
+                for (part, f), found in zip(fields.items(), _parse(p, l, t)):
+                    rows += [{"part": part, part: dict(zip([n for n, _ in f], r))} for r in found]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    ddl = "part string, " + ", ".join(f"{k} struct<{', '.join(f'{n}: {t}' for n, t in f)}>" for k, f in fields.items())
+    got = Scratch(files.sparkSession).save(src.mapInArrow(run, ddl))
+    nodes, links, refs = (got.where(F.col("part") == k).select(f"{k}.*") for k in parts)
+    return nodes.dropDuplicates(["id"]), links, refs
 
 
 def table_references(refs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

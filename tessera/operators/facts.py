@@ -98,17 +98,20 @@ def mentioned(entities: DataFrame, texts: DataFrame, title: str = "title", text_
     """Distinct entity rows whose title some text holds, case folded.
 
     A title's first n characters (all of a shorter one) must occur in the text, so titles
-    and texts meet by equi-join on such runs and only those pairs are tested."""
+    and texts meet by equi-join on such runs and only those pairs are tested. The runs of a
+    text travel with its hash; the text itself meets only the titles that may be in it."""
     e = entities.where(F.length(F.trim(title)) > 0).withColumn("_t", F.lower(title))
-    key = F.substring("_t", 1, n)
-    e = e.withColumn("_g", key).withColumn("_n", F.length("_g"))
-    x = texts.select(F.lower(text_col).alias("_x")).where(F.length("_x") > 0).distinct()
+    e = e.withColumn("_g", F.substring("_t", 1, n)).withColumn("_n", F.length("_g"))
+    x = texts.select(F.lower(text_col).alias("_x")).where(F.length("_x") > 0)
+    x = x.select(F.xxhash64("_x").alias("_h"), F.hash("_x").alias("_k"), "_x").dropDuplicates(["_h", "_k"])
+    titles = e.select("_g", "_n", "_t").distinct()
     sizes = [r[0] for r in e.select("_n").distinct().collect()]  # n values at most
-    runs = None
+    hits = None
     for k in sizes:
-        r = x.where(F.length("_x") >= k).select("_x", F.explode(F.array_distinct(_grams(F.col("_x"), k))).alias("_g"))
-        r = r.join(e.select("_g").distinct(), "_g", "left_semi")
-        runs = r if runs is None else runs.unionByName(r)
-    if runs is None:
+        r = x.where(F.length("_x") >= k).select("_h", "_k", F.explode(F.array_distinct(_grams(F.col("_x"), k))).alias("_g"))
+        r = r.join(titles.where(F.col("_n") == k).select("_g", "_t"), "_g").select("_h", "_k", "_t")
+        hits = r if hits is None else hits.unionByName(r)
+    if hits is None:
         return entities.limit(0)
-    return e.join(runs, "_g").where(F.col("_x").contains(F.col("_t"))).select(*entities.columns).distinct()
+    found = hits.join(x, ["_h", "_k"]).where(F.col("_x").contains(F.col("_t"))).select("_t").distinct()
+    return e.join(found, "_t", "left_semi").select(*entities.columns).distinct()

@@ -18,9 +18,10 @@ def with_titles(edges: DataFrame, nodes: DataFrame, title: str = "name") -> Data
 
 def resolve_calls(refs: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     """(from_node_id, reference_name, n, target, candidates): a call meets the functions and methods of its name; one match is an edge, more are up to ``most`` candidates, none stays open."""
-    f = nodes.where(F.col("kind").isin("function", "method")).select("id", "name")
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("id"))
-    names = f.withColumn("r", rank).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("id")))).alias("ids"))
+    f = nodes.where(F.col("kind").isin("function", "method")).select("id", "name").join(refs.select(F.col("reference_name").alias("name")).distinct(), "name", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("id"))  # cut to the first few of a name before the shuffle, too
+    first = f.withColumn("r", rank).where(F.col("r") <= most).groupBy("name").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    names = f.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(first, "name")
     j = refs.join(names, refs["reference_name"] == names["name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return j.select("from_node_id", "reference_name", "n", F.when(F.col("n") == 1, F.col("ids")[0]).alias("target"), F.when(F.col("n") > 1, F.col("ids")).alias("candidates"))
 

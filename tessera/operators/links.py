@@ -55,7 +55,7 @@ def semantic(queries: DataFrame, concepts: DataFrame, min_score: float = 0.78, k
 def closest(queries: DataFrame, concepts: DataFrame, most: int = 200, min_score: float = 0.78) -> DataFrame:
     """(a, b, score), a < b: of all pairs of one of the queries and a concept of another project the ``most`` of the highest cosine."""
     got = vectors.closest_pairs(queries, concepts, 2 * most, min_score, "project_id")  # a pair of two queries comes twice
-    return got.select(F.least("q_id", "i_id").alias("a"), F.greatest("q_id", "i_id").alias("b"), "score").dropDuplicates(["a", "b"]).orderBy(F.desc("score"), "a", "b").limit(most)
+    return got.select(F.least("q_id", "i_id").alias("a"), F.greatest("q_id", "i_id").alias("b"), F.round("score", 9).alias("score")).dropDuplicates(["a", "b"]).orderBy(F.desc("score"), "a", "b").limit(most)
 
 
 def judged(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -239,6 +239,16 @@ def semantic_links(spark, sf):
     return links.semantic(q, c).withColumn("score", F.round("score", 4))
 
 
+@query("semantic_top_pairs", f"""WITH {i.S_CONCEPTS}, c AS (SELECT id, project_id, CAST(embedding AS DOUBLE[]) AS e FROM cg WHERE embedding IS NOT NULL),
+  p AS (SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM c a JOIN c b ON a.project_id <> b.project_id WHERE CAST('0x' || a.id AS UBIGINT) % 20 = 0)
+  SELECT a, b, round(s, 4) AS score FROM p WHERE s >= 0.78 ORDER BY s DESC, a, b LIMIT 200""")
+def semantic_top_pairs(spark, sf):
+    """The 200 closest pairs across projects in all, of the same query set."""
+    c = i.concepts(spark, sf)
+    q = c.where(F.conv("id", 16, 10).cast("decimal(20,0)") % 20 == 0)
+    return links.closest(q, c).withColumn("score", F.round("score", 4))
+
+
 @query("link_other_side", f"WITH {i.S_LINKS}, {i.S_CONCEPTS}, o AS (SELECT a AS me, b AS other, kind, score FROM li WHERE a <> b UNION SELECT b, a, kind, score FROM li WHERE a <> b) SELECT o.me, o.other, o.kind, o.score, cg.name, projects.name AS project FROM o JOIN cg ON o.other = cg.id JOIN projects ON cg.project_id = projects.id")
 def link_other_side(spark, sf):
     li = i.links(spark, sf).where("a <> b")
@@ -290,7 +300,11 @@ def nearest_vectors(spark, sf):
     return vectors.nearest(q, e.select(F.col("vec_id").alias("i_id"), F.col("embedding").alias("i_vec")), 5, 0.1).withColumn("score", F.round("score", 4))
 
 
-@query("concept_assignment")
+@query("concept_assignment", f"""WITH {i.S_CONCEPTS}, v AS (SELECT project_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM cg WHERE embedding IS NOT NULL),
+  m AS (SELECT project_id, pos, avg(CAST(x AS DOUBLE)) AS x FROM v GROUP BY project_id, pos), c AS (SELECT project_id, list(x ORDER BY pos) AS c FROM m GROUP BY project_id),
+  s AS (SELECT id, c.project_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c.c) AS s FROM cg, c WHERE embedding IS NOT NULL),
+  b AS (SELECT id, s, project_id FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, project_id) = 1)
+  SELECT cg.id, CASE WHEN b.s >= 0 THEN b.project_id END AS cluster, round(b.s, 4) AS score FROM cg LEFT JOIN b ON cg.id = b.id""")
 def concept_assignment(spark, sf):
     """Concepts of all projects to the nearest project centroid, as the scalable clustering step does it."""
     c = i.concepts(spark, sf)
