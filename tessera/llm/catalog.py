@@ -103,16 +103,21 @@ def _words(name: str, text: str) -> str:
     return f"SELECT DISTINCT '{name}' AS t, id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {name}"
 
 
-@query("p7_found", f"""WITH w AS ({_words("k_nodes", "coalesce(title, '') || ' ' || coalesce(summary, '')")} UNION ALL {_words("concepts_global", "coalesce(summary, '')")}),
+_SIMILAR = f"""w AS ({_words("k_nodes", "coalesce(title, '') || ' ' || coalesce(summary, '')")} UNION ALL {_words("concepts_global", "coalesce(summary, '')")}),
   n AS (SELECT t, id, count(*) AS n FROM w GROUP BY t, id HAVING count(*) >= 20),
   s AS (SELECT DISTINCT t, id, w FROM w SEMI JOIN n USING (t, id)),
   i AS (SELECT x.t, x.id AS a, y.id AS b, count(*) AS i FROM s x JOIN s y ON x.t = y.t AND x.w = y.w AND x.id < y.id GROUP BY ALL)
-  SELECT i.t AS rec_table, a, b FROM i JOIN n p ON p.t = i.t AND p.id = a JOIN n q ON q.t = i.t AND q.id = b WHERE 10 * i >= 7 * (p.n + q.n - i)""")
+  SELECT i.t AS rec_table, a, b FROM i JOIN n p ON p.t = i.t AND p.id = a JOIN n q ON q.t = i.t AND q.id = b WHERE 10 * i >= 7 * (p.n + q.n - i)"""
+
+
+@query("p7_found", f"WITH {_SIMILAR}")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.pairs_of(*_near(spark, sf))
 
 
-@query("p7_groups")
+@query("p7_groups", f"""WITH RECURSIVE p AS (WITH {_SIMILAR}), d AS (SELECT rec_table AS t, a, b FROM p UNION SELECT rec_table, b, a FROM p),
+  r(t, id, other) AS (SELECT t, a, b FROM d UNION SELECT r.t, r.id, d.b FROM r JOIN d ON r.t = d.t AND r.other = d.a)
+  SELECT t AS rec_table, id, least(id, min(other)) AS group_id FROM r GROUP BY t, id""")
 def p7_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near.groups_of(*_near(spark, sf))
 
