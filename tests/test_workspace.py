@@ -8,6 +8,11 @@ from tessera.workspace import Workspace, load_config, merged
 
 @pytest.fixture(scope="module")
 def app(tmp_path_factory):
+    return project(tmp_path_factory)
+
+
+def project(tmp_path_factory):
+    """A project of three files and the transcript of one short conversation."""
     root = tmp_path_factory.mktemp("app")
     (root / "src").mkdir()
     (root / "src" / "auth.py").write_text("def login():\n    return check()\n\ndef check():\n    return 1\n")
@@ -85,8 +90,8 @@ class Scripted:
         return "{}"
 
 
-def test_facts_to_concepts_to_links(spark, app, tmp_path_factory):
-    root, logs, _ = app
+def test_facts_to_concepts_to_links(spark, tmp_path_factory):
+    root, logs, _ = project(tmp_path_factory)
     w = Workspace(spark, "file://" + str(tmp_path_factory.mktemp("ws3")), {"min_similarity": 0.2}, backend=Scripted())
     p = str(root)
     w.ingest("cursor", str(logs), p)
