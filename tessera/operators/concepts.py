@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import lattice, vectors
 
-#: Facts of one project that the exact fold clusters in one task.
-FOLD_BOUND = 50_000
-
 
 def summary(facts: DataFrame) -> DataFrame:
     """(cluster_id, member_count, scope, grounding): size, most frequent scope (first seen on ties) and strongest grounding of every cluster."""
@@ -33,43 +30,61 @@ def uncategorized(facts: DataFrame, with_vector: DataFrame) -> DataFrame:
     return facts.join(with_vector.select("id"), "id", "left_anti").select("id", F.concat("kind", F.lit(" (uncategorized)")).alias("bucket"))
 
 
+class _Clusters:
+    """Clusters of one group and vector length: names, sums of members and, kept beside them, centroids with their lengths."""
+
+    def __init__(self, dim: int):
+        self.names: list[str] = []
+        self.counts: list[int] = []
+        self.sums, self.means, self.norms = np.zeros((16, dim)), np.zeros((16, dim)), np.zeros(16)
+
+    def put(self, name: str, x: np.ndarray, attach: float) -> str:
+        k = len(self.names)
+        if k:
+            d = self.norms[:k] * np.linalg.norm(x)
+            s = np.divide(self.means[:k] @ x, d, out=np.zeros(k), where=d > 0)
+            at = int(s.argmax())
+            if s[at] >= attach:
+                self.counts[at] += 1
+                self.sums[at] += x
+                self._move(at)
+                return self.names[at]
+        if k == len(self.norms):
+            self.sums, self.means, self.norms = (np.concatenate([a, np.zeros_like(a)]) for a in (self.sums, self.means, self.norms))
+        self.names.append(name)
+        self.counts.append(1)
+        self.sums[k] = x
+        self._move(k)
+        return name
+
+    def _move(self, at: int) -> None:
+        self.means[at] = self.sums[at] / self.counts[at]
+        self.norms[at] = np.linalg.norm(self.means[at])
+
+
 def fold(df: DataFrame, group: str, order: str, vector: str, attach: float = 0.55) -> DataFrame:
     """(group, id, cluster): facts in order join the nearest centroid at ``attach`` or above, else found a cluster named by themselves; centroids move with each.
 
-    The fold is sequential by nature, so groups above FOLD_BOUND are refused; ``assign`` scales."""
-    big = df.groupBy(group).count().where(F.col("count") > FOLD_BOUND).limit(1).collect()
-    if big:
-        raise ValueError(f"group {big[0][0]} is too large for the exact fold; use assign()")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, "id"], kind="stable")
-        sums: list[np.ndarray] = []
-        counts: list[int] = []
-        names: list[str] = []
-        out = []
-        for i, v in zip(pdf["id"], pdf[vector]):
-            x = np.asarray(v, np.float64)
-            best, at = attach, -1
-            if sums:
-                m = np.array([s / n if len(s) == len(x) else np.zeros(len(x)) for s, n in zip(sums, counts)])
-                d = np.linalg.norm(m, axis=1) * np.linalg.norm(x)
-                s = np.divide(m @ x, d, out=np.zeros(len(m)), where=d > 0)
-                k = int(s.argmax())
-                if s[k] >= best:
-                    at = k
-            if at < 0:
-                sums.append(x.copy())
-                counts.append(1)
-                names.append(i)
-                out.append(i)
-            else:
-                sums[at] = sums[at] + x
-                counts[at] += 1
-                out.append(names[at])
-        return pd.DataFrame({group: pdf[group], "id": pdf["id"], "cluster": out})
+    The fold is sequential by nature: a group is one task, which reads its sorted facts as a stream and holds only the clusters, so groups may be of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+        for b in batches:
+            out = []
+            for g, i, v in zip(*(c.to_pylist() for c in b.columns)):
+                if g != last:
+                    last, held = g, {}
+                x = np.asarray(v, np.float64)
+                if len(x) not in held:
+                    held[len(x)] = _Clusters(len(x))
+                out.append(held[len(x)].put(i, x, attach))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=[group, "id", "cluster"])
 
     g = dict(df.dtypes)[group]
-    return df.where(F.col(vector).isNotNull()).select(group, "id", order, vector).groupBy(group).applyInPandas(run, f"`{group}` {g}, id string, cluster string")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given as a number, else adaptive execution puts small groups into one task
+    f = df.where(F.col(vector).isNotNull()).select(group, "id", order, vector).repartition(tasks, group)
+    f = f.sortWithinPartitions(group, F.asc_nulls_last(order), F.asc_nulls_last("id"))
+    return f.select(group, F.col("id").cast("string").alias("id"), vector).mapInArrow(run, f"`{group}` {g}, id string, cluster string")
 
 
 def nearest_concepts(queries: DataFrame, centroids: DataFrame, k: int = 5, min_score: float = 0.55) -> DataFrame:

@@ -192,6 +192,30 @@ def test_fold_against_a_loop(spark):
     assert {(r["id"], r["cluster"]) for r in concepts.assign(df, cen, "v").collect()} == {("a", "x"), ("b", "x"), ("c", None), ("d", "x"), ("e", None)}
 
 
+def test_fold_of_a_large_group(spark):
+    """A group of more than 50,000 facts beside a small one, order null at times, against a plain loop."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = (np.eye(4)[rng.integers(0, 4, 50_300)] + rng.normal(0, 0.3, (50_300, 4))).astype("float32")
+    rows = [("p" if i >= 300 else "q", f"{i:06d}", int(t) if t else None, x.tolist()) for i, (t, x) in enumerate(zip(rng.integers(0, 1000, len(v)), v))]
+    want = set()
+    for g in "pq":
+        sums, counts, names = np.zeros((0, 4)), np.zeros(0), []
+        for _, i, _, x in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+            c = sums / counts[:, None]
+            s = c @ x / (np.linalg.norm(c, axis=1) * np.linalg.norm(x))
+            if not names or s.max() < 0.55:
+                sums, counts, names = np.vstack([sums, np.zeros(4)]), np.append(counts, 0), [*names, i]
+                s = np.append(np.full(len(names) - 1, -2), 1)
+            at = int(s.argmax())
+            sums[at] += x
+            counts[at] += 1
+            want.add((g, i, names[at]))
+    got = concepts.fold(spark.createDataFrame(rows, "project_id string, id string, t int, v array<float>"), "project_id", "t", "v").collect()
+    assert len(got) == len(rows) and {(r["project_id"], r["id"], r["cluster"]) for r in got} == want
+
+
 def test_incremental(spark):
     rows = spark.createDataFrame([("f", 0), ("f", 1), ("g", 0)], "source_path string, position long")
     seen = incremental.offsets(rows.where("source_path = 'f' and position = 0"))
