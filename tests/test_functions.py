@@ -100,6 +100,37 @@ def test_nearest_and_centroids(spark, monkeypatch, block):
     assert c[0]["n_members"] == 15 and np.allclose(c[0]["centroid"], m[0::3].mean(axis=0), atol=1e-6)
 
 
+def test_blocks_meet_in_many_tasks(spark, monkeypatch):
+    """Blocks of one length spread over tasks; gaps, lengths, equal vectors and low bounds come out as by brute force."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    m = rng.integers(-2, 3, (400, 6)).astype("float32")
+    m[200:260], m[7] = m[3], 0
+    rows = [(f"{i:03d}", i % 4, v.tolist()) for i, v in enumerate(m)] + [("x", 0, [1.0, None, 0.0, 0.0, 0.0, 0.0]), ("y", 1, [float("nan")] * 6), ("z", 2, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id string, g int, embedding array<float>").repartition(5)
+    q = df.where("id < '040' or id in ('x', 'z')").select(F.col("id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    i = df.select(F.col("id").alias("i_id"), F.col("embedding").alias("i_vec"))
+    n = np.divide(m, (s := np.linalg.norm(m.astype(float), axis=1, keepdims=True)), out=np.zeros(m.shape), where=s > 0)
+    s = np.round(n @ n.T, 9)
+    for k, least in [(1, -1.5), (3, 0.9)]:
+        want = {(a, r + 1): (b, x) for a in range(40) for r, (x, b) in enumerate(sorted(((s[a, b], b) for b in range(400) if b != a and s[a, b] >= least), key=lambda t: (-t[0], t[1]))[:k])}
+        got = {(int(r["q_id"]), r["rank"]): (r["i_id"], round(r["score"], 9)) for r in vectors.nearest(q, i, k, least).collect()}
+        assert {a: x for a, (_, x) in got.items()} == {a: x for a, (_, x) in want.items()}
+        assert {a: int(b) for a, (b, _) in got.items() if a[0] == 3} == {a: b for a, (b, _) in want.items() if a[0] == 3}
+    top = vectors.closest_pairs(df.where("id < '040'"), df, 3, 0.0, "g").collect()
+    assert [(r["q_id"], r["i_id"], round(r["score"], 9)) for r in top] == [(f"{a:03d}", f"{b:03d}", -x) for x, a, b in sorted((-s[a, b], a, b) for a in range(40) for b in range(400) if a % 4 != b % 4)[:3]]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = [vectors.blocks(x, f"{c}_id", f"{c}_vec") for c, x in (("q", q), ("i", i))]
+        met = vectors._pairs_of_blocks(*b, 3, 0.9, True, False, True, "string", "string")
+        assert met.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_codec():
     b = vectors.encode_vector([1.0, -2.5])
     assert vectors.decode_vector(b) == [1.0, -2.5]
